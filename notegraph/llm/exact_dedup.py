@@ -17,29 +17,34 @@ from notegraph.llm.common import ascii_lower, durable
 #: texts are; that bounds the list sent to the executors.
 HOT_SHARE = 1 / 256
 SALTS = 64
+SENT = 100_000
 
 
 def exact_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest"
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    keep: str = "smallest",
+    columns: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row for each row of ``docs``: (doc_id, keep_id, group_size, kept, text_sha256).
+    """One row for each row of ``docs``: (doc_id, keep_id, group_size, kept, text_sha256), and with
+    ``columns`` those of its row too, as the struct ``row``.
 
     Texts are equal when identical after lower-casing A-Z. ``keep`` names the identifier that stays in
     a group: "smallest" or "largest". A null text counts as empty. Null identifiers never stay while
     the group has another; a group of null identifiers only has a null ``keep_id``. Of rows repeated
-    with the same identifier that stays, each has ``kept`` true. Other columns are ignored; an empty
-    table gives an empty result.
+    with the same identifier that stays, each has ``kept`` true. Other columns are ignored, whatever
+    their names; an empty table gives an empty result.
     """
     if keep not in ("smallest", "largest"):
         raise ValueError(f"keep: {keep!r}")
     stays = F.min if keep == "smallest" else F.max
-    folded = F.lower(F.coalesce(F.col(text_col), F.lit("")))
     rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.coalesce(F.col(text_col), F.lit("")).alias("raw"),
-        F.substring(folded, 1, 32).alias("start"),
-        F.xxhash64(folded).alias("mark"),
+        F.col(id_col).cast("long").alias("doc_id"), F.struct(*(columns or (text_col,))).alias("row")
     )
+    raw = F.coalesce(F.col("row")[text_col], F.lit(""))
+    folded = F.lower(raw)
+    rows = rows.withColumns({"start": F.substring(folded, 1, 32), "mark": F.xxhash64(folded)})
     total = docs.count()
     hot = [
         r[0]
@@ -51,26 +56,27 @@ def exact_dedup(
     ]
     is_hot = F.col("mark").isin(hot) if hot else F.lit(False)
     salt = F.when(is_hot, F.pmod(F.xxhash64("doc_id", "mark"), F.lit(SALTS))).otherwise(F.lit(0))
-    dealt = rows.withColumn("salt", salt.cast("int")).repartitionByRange("start", "mark", "salt")
-    same = Window.partitionBy("start", "mark", "salt", "norm")
-    part = dealt.withColumn("norm", ascii_lower(F.col("raw"))).select(
+    # A constant salt would be folded away, and the window could not use the range partitioning.
+    order = ["start", "mark", "salt"] if hot else ["start", "mark"]
+    dealt = rows.withColumn("salt", salt.cast("int")).repartitionByRange(*order)
+    same = Window.partitionBy(*order, "norm")
+    part = dealt.withColumn("norm", ascii_lower(raw)).select(
         "doc_id",
-        "mark",
-        "salt",
+        *(["row"] if columns else []),
         F.sha2("norm", 256).alias("text_sha256"),
         stays("doc_id").over(same).alias("keep_id"),
         F.count(F.lit(1)).over(same).alias("group_size"),
     )
     if hot:
-        part = durable(part)
-        merged = (
-            part.where(is_hot)
-            .groupBy("text_sha256", "salt")
-            .agg(stays("keep_id").alias("keep_id"), F.max("group_size").alias("n"))
+        # The parts of a text that was split meet here. Texts with one mark can still differ in the
+        # case of letters other than A-Z, so the number of rows is checked before they are sent out.
+        whole = durable(
+            rows.where(is_hot)
+            .select("doc_id", F.sha2(ascii_lower(raw), 256).alias("text_sha256"))
             .groupBy("text_sha256")
-            .agg(stays("keep_id").alias("hot_keep"), F.sum("n").alias("hot_size"))
+            .agg(stays("doc_id").alias("hot_keep"), F.count(F.lit(1)).alias("hot_size"))
         )
-        part = part.join(F.broadcast(merged), "text_sha256", "left").withColumns(
+        part = part.join(F.broadcast(whole) if whole.count() <= SENT else whole, "text_sha256", "left").withColumns(
             {
                 "keep_id": F.when(F.col("hot_size").isNull(), F.col("keep_id")).otherwise(F.col("hot_keep")),
                 "group_size": F.coalesce("hot_size", "group_size"),
@@ -82,9 +88,20 @@ def exact_dedup(
         "group_size",
         (F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
         "text_sha256",
+        *(["row"] if columns else []),
     )
 
 
+def unique(docs: DataFrame, keep: str = "smallest") -> DataFrame:
+    """The rows of ``docs`` whose text's kept identifier is their own; a row repeated whole stays once,
+    and so does one text among rows without identifier."""
+    found = exact_dedup(docs, keep=keep, columns=tuple(docs.columns)).where("kept")
+    twice = found.groupBy("text_sha256").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    once = found.join(twice, "text_sha256", "left_anti")
+    more = found.join(twice, "text_sha256", "left_semi").dropDuplicates(["text_sha256"])
+    return once.select("row.*").unionByName(more.select("row.*"))
+
+
 SQL = """
 WITH n AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm
