@@ -45,3 +45,9 @@ def ascii_lower(text: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def held(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """``rows`` with ``value`` computed once. The optimiser copies the expression behind a plain column
+    into every filter and lambda that uses it; it can't do so through a generator."""
+    return rows.select(*[F.col(c) for c in rows.columns if c != name], F.explode(F.array(value)).alias(name))

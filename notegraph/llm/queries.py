@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from notegraph.llm import exact_dedup, mixing, simhash_dedup, toxicity
+from notegraph.llm import decontaminate, exact_dedup, mixing, simhash_dedup, toxicity
 from notegraph.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_dedup(table(spark, sf_dir, "documents"))
 
@@ -27,9 +31,9 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_toxicity, op3_simhash_near_dedup, op4_mixing, op7_exact_dedup]
+    found = [op1_toxicity, op2_benchmark_decontamination, op3_simhash_near_dedup, op4_mixing, op7_exact_dedup]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": exact_dedup.SQL}
+    return {"op2_benchmark_decontamination": decontaminate.SQL, "op7_exact_dedup": exact_dedup.SQL}
