@@ -28,7 +28,7 @@ def exact_dedup(
     columns: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row for each row of ``docs``: (doc_id, keep_id, group_size, kept, text_sha256), and with
-    ``columns`` those of its row too, as the struct ``row``.
+    ``columns`` those of its row too, as the struct ``row``, and ``place``, which is 1 for one of the kept rows of a group.
 
     Texts are equal when identical after lower-casing A-Z. ``keep`` names the identifier that stays in
     a group: "smallest" or "largest". A null text counts as empty. Null identifiers never stay while
@@ -59,10 +59,12 @@ def exact_dedup(
     # A constant salt would be folded away, and the window could not use the range partitioning.
     order = ["start", "mark", "salt"] if hot else ["start", "mark"]
     dealt = rows.withColumn("salt", salt.cast("int")).repartitionByRange(*order)
-    same = Window.partitionBy(*order, "norm")
+    best = F.asc_nulls_last("doc_id") if keep == "smallest" else F.desc_nulls_last("doc_id")
+    ranked = Window.partitionBy(*order, "norm").orderBy(best)
+    same = ranked.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     part = dealt.withColumn("norm", ascii_lower(raw)).select(
         "doc_id",
-        *(["row"] if columns else []),
+        *(["row", F.row_number().over(ranked).alias("place")] if columns else []),
         F.sha2("norm", 256).alias("text_sha256"),
         stays("doc_id").over(same).alias("keep_id"),
         F.count(F.lit(1)).over(same).alias("group_size"),
@@ -88,18 +90,15 @@ def exact_dedup(
         "group_size",
         (F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
         "text_sha256",
-        *(["row"] if columns else []),
+        *(["row", "place"] if columns else []),
     )
 
 
 def unique(docs: DataFrame, keep: str = "smallest") -> DataFrame:
     """The rows of ``docs`` whose text's kept identifier is their own; a row repeated whole stays once,
     and so does one text among rows without identifier."""
-    found = exact_dedup(docs, keep=keep, columns=tuple(docs.columns)).where("kept")
-    twice = found.groupBy("text_sha256").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    once = found.join(twice, "text_sha256", "left_anti")
-    more = found.join(twice, "text_sha256", "left_semi").dropDuplicates(["text_sha256"])
-    return once.select("row.*").unionByName(more.select("row.*"))
+    # Rows with one identifier are in the same part of a text that was split, so one has place 1.
+    return exact_dedup(docs, keep=keep, columns=tuple(docs.columns)).where("kept AND place = 1").select("row.*")
 
 
 SQL = """

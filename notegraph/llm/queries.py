@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from notegraph.llm import decontaminate, exact_dedup, mixing, simhash_dedup, toxicity
 from notegraph.llm.common import table
 
@@ -32,7 +33,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [op1_toxicity, op2_benchmark_decontamination, op3_simhash_near_dedup, op4_mixing, op7_exact_dedup]
-    return {f.__name__: f for f in found}
+    return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

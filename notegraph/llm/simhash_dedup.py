@@ -150,3 +150,9 @@ def near_dedup(
     return marks.join(classes, "fp", "left").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def unique(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose identifier is that of their component; rows with null identifiers stay."""
+    later = near_dedup(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(later, "doc_id", "left_anti").select(docs.columns)

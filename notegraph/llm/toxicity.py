@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from notegraph.llm import ngrams
 
@@ -103,12 +104,20 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int =
     )
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score) for each row: the probability of label 1 for the whole text. Null and empty
-    texts get the score of the intercept. Other columns are ignored; an empty table gives none."""
+def score(
+    docs: DataFrame,
+    model: tuple[np.ndarray, float],
+    columns: tuple[str, ...] = ("doc_id",),
+    text_col: str = "text",
+    below: float | None = None,
+) -> DataFrame:
+    """``columns`` of each row and ``score``: the probability of label 1 for the whole text. With
+    ``below``, the rows scored under it alone and no score. Null and empty texts get the score of the
+    intercept. Other columns are ignored; an empty table gives none."""
     weights, bias = model
     at = np.flatnonzero(weights)
     sent = docs.sparkSession.sparkContext.broadcast((at, weights[at].astype(np.float32), float(bias)))
+    rows = docs.select(*columns, F.col(text_col).cast("binary").alias("_scored_text"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, values, bias = sent.value
@@ -116,32 +125,45 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_i
         dense[at] = values
         for batch in batches:
             sums = np.full(batch.num_rows, bias)
-            for first, rows, words, stems, row in ngrams.word_groups(batch.column(1)):
+            for first, n, words, stems, row in ngrams.word_groups(batch.column(batch.num_columns - 1)):
                 slot, own = features(words, stems, row)
                 hit = dense[slot] != 0
                 keys = np.unique((own[hit] << BITS) | slot[hit])
-                sums[first : first + rows] += np.bincount(
-                    keys >> BITS, weights=dense[keys & ((1 << BITS) - 1)], minlength=rows
+                sums[first : first + n] += np.bincount(
+                    keys >> BITS, weights=dense[keys & ((1 << BITS) - 1)], minlength=n
                 )
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(sums, -35, 35))))], ["doc_id", "score"]
-            )
+            found = 1 / (1 + np.exp(-np.clip(sums, -35, 35)))
+            kept, names = list(batch.columns[:-1]), batch.schema.names[:-1]
+            if below is None:
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(found)], [*names, "score"])
+            else:
+                yield pa.RecordBatch.from_arrays(kept, names).filter(pa.array(found < below))
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(each, "doc_id long, score double")
+    schema = T.StructType(rows.schema.fields[:-1])
+    return rows.mapInArrow(each, schema if below is not None else schema.add("score", T.DoubleType()))
 
 
 def fold_of(id_col: str, folds: int):
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(folds))
 
 
+def learn(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> tuple[np.ndarray, float]:
+    """The model of the rows of ``labels`` that are not held out: those whose crc32(doc_id) mod 4 is not 2."""
+    return train(docs, labels.where(fold_of("doc_id", 4) != 2), "toxic", limit)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for each row of ``docs``. Rows whose crc32(doc_id) mod 4
-    is 2 are held out and teach nothing. A null identifier is not held out and has no label."""
-    model = train(docs, labels.where(fold_of("doc_id", 4) != 2), "toxic", limit)
-    return score(docs, model).select(
+    """(doc_id, held_out, score, predicted) for each row of ``docs``. Held-out rows teach nothing. A
+    null identifier is not held out and has no label; repeated rows are scored each."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return score(rows, learn(docs, labels, limit)).select(
         "doc_id",
         F.coalesce(fold_of("doc_id", 4) == 2, F.lit(False)).alias("held_out"),
         "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
     )
+
+
+def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic, with all their columns."""
+    return score(docs, learn(docs, labels), tuple(docs.columns), below=THRESHOLD)
