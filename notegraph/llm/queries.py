@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from notegraph.llm import decontaminate, exact_dedup, mixing, quality, simhash_dedup, toxicity
+from notegraph.llm import decontaminate, exact_dedup, mixing, pii, quality, simhash_dedup, toxicity
 from notegraph.llm.common import table
 
 
@@ -35,8 +35,12 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_toxicity, op2_benchmark_decontamination, op3_simhash_near_dedup, op4_mixing, op6_quality, op7_exact_dedup]
+    found = [op1_toxicity, op2_benchmark_decontamination, op3_simhash_near_dedup, op4_mixing, op6_quality, op7_exact_dedup, op10_personal_data]
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
