@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from notegraph.llm import decontaminate, exact_dedup, mixing, pii, quality, simhash_dedup, toxicity
+from notegraph.llm import chat, decontaminate, exact_dedup, html_extraction, line_dedup, mixing, pii, quality, simhash_dedup, toxicity
 from notegraph.llm.common import table
 
 
@@ -27,6 +28,17 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_lines",
+        F.size("removed").cast("long").alias("n_removed"),
+        F.array_join("removed", ",").alias("removed"),
+        F.sha2("text", 256).alias("text_sha256"),
+    )
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -35,12 +47,20 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(table(spark, sf_dir, "pages"))
+
+
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.conversations(table(spark, sf_dir, "conversations"))
+
+
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_toxicity, op2_benchmark_decontamination, op3_simhash_near_dedup, op4_mixing, op6_quality, op7_exact_dedup, op10_personal_data]
+    found = [op1_toxicity, op2_benchmark_decontamination, op3_simhash_near_dedup, op4_mixing, op5_line_dedup, op6_quality, op7_exact_dedup, op8_html_extraction, op9_chat_formatting, op10_personal_data]
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
