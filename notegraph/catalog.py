@@ -5,15 +5,872 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from notegraph import model
+from notegraph.functions import columns
+from notegraph.model import C, D, G, KIND, V
+from notegraph.operators import fulltext, graph, history, links, query, store, sync, vectors, verify, writes
+from notegraph.operators.query import QuerySpec
+from notegraph.operators.store import Store
+from notegraph.plans.compile import Tables, compile_filter
+from notegraph.plans.visibility import Claim, Visibility
+from notegraph.sources import markdown
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+ALL = Visibility(include_hidden=True, include_system=True)
+
+
+def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(run: Query) -> Query:
+        _QUERIES[name] = run
+        if sql is not None:
+            _SQL[name] = sql
+        return run
+
+    return add
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang")
+    """Documents by predicate: two conditions, one over a key that may be a list, in the default order."""
+    spec = QuerySpec(filter='n_chars > 500 && "en" in list(tags)', select=("$path", "$updated_at", "$version_id"))
+    return query.run_query(Store(model.documents(spark, sf_dir)), spec)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+# Predicates over front matter and intrinsics (FP, FN). name: (filter, condition in SQL)
+
+FILTERS = {
+    "fp_eq": ('lang == "de"', "lang = 'de'"),
+    "fp_ne": ('lang != "en"', "lang <> 'en'"),
+    "fp_cmp_num": ("n_chars >= 2000 && n_chars < 5000.5", "n_chars >= 2000 AND n_chars < 5000.5"),
+    "fp_cmp_path": ('$path < "es"', "path < 'es'"),
+    "fp_updated_at": ('$updated_at >= "2024-06-01"', "created_at >= '2024-06-01'"),
+    "fp_or": ('lang == "fr" || n_chars > 9000', "lang = 'fr' OR n_chars > 9000"),
+    "fp_not_3vl": ("!(quality == 1)", "NOT (quality = 1)"),
+    "fp_missing_key": ("quality == 0", "quality = 0"),
+    "fp_null": ("quality == null || n_chars < 50", "n_chars < 50"),
+    "fp_unary_minus": ("-n_chars < -8000", "-n_chars < -8000"),
+    "fp_type_gate_bool": ("flag == true", "id % 5 = 0"),
+    "fp_type_gate_num": ("flag == 1", "id % 5 = 2"),
+    "fp_type_gate_string": ('flag == "yes"', "id % 5 = 1"),
+    "fp_key_to_key": ("source == meta.owner && n_chars > meta.rank", "n_chars > id % 7"),
+    "fp_in_list": ('"en" in list(tags)', "id % 4 IN (1, 2) AND lang = 'en'"),
+    "fp_exists": ('list(tags).exists(t, t.startsWith("src1"))', "id % 4 = 2 AND source LIKE 'src1%'"),
+    "fp_all": ('list(tags).all(t, t != "de")', "id % 4 IN (0, 3) OR lang <> 'de'"),
+    "fp_size_list": ("size(list(tags)) == 2", "id % 4 = 2"),
+    "fp_size_list_scalar": ("size(list(tags)) == 1 || size(list(tags)) == 0", "id % 4 <> 2"),
+    "fp_nested": ('meta.owner == "src3" && meta.rank > 2', "source = 'src3' AND id % 7 > 2"),
+    "fn_contains": ('$body.contains("idiot")', "contains(body, 'idiot')"),
+    "fn_startswith": ('$body.startsWith("The")', "starts_with(body, 'The')"),
+    "fn_endswith": ('endsWith($body, ".")', "ends_with(body, '.')"),
+    "fn_matches": ('$body.matches("^[A-Z][a-z]+ [a-z]+")', "regexp_matches(body, '^[A-Z][a-z]+ [a-z]+')"),
+    "fn_size_string": ("size($body) < 300", "length(body) < 300"),
+}
+
+
+def _filter(source: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return query.selected(Store(model.documents(spark, sf_dir)), QuerySpec(filter=source, visibility=ALL)).select("document_id", "path")
+
+    return run
+
+
+for _name, (_source, _where) in FILTERS.items():
+    register(_name, f"WITH {D} SELECT id AS document_id, path FROM d WHERE {_where}")(_filter(_source))
+
+# Visibility
+
+VISIBLE = {
+    "fp_sigil": (Visibility(), "NOT starts_with(path, '.') AND NOT starts_with(path, ':')"),
+    "fp_sigil_hidden": (Visibility(include_hidden=True), "NOT starts_with(path, ':')"),
+    "fp_glob_scope": (
+        Visibility(claims=(Claim(("*",), ("en/**", "!en/src1*/**", "de/src2/*")),)),
+        "CASE WHEN regexp_matches(path, '^de/src2/[^/]*$') THEN true WHEN regexp_matches(path, '^en/src1[^/]*/.*$') THEN false ELSE regexp_matches(path, '^en/.*$') END",
+    ),
+    "fp_scope_by_repo": (
+        Visibility(claims=(Claim(("al*",), ("fr/**",)), Claim(("beta",), ("*7.md",))), slugs={0: "alpha", 1: "beta", 2: "gamma"}),
+        "NOT starts_with(path, '.') AND NOT starts_with(path, ':') AND ((repo_id = 0 AND starts_with(path, 'fr/')) OR (repo_id = 1 AND ends_with(path, '7.md')))",
+    ),
+    "fp_scope_empty": (Visibility(claims=()), "false"),
+}
+
+
+def _visible(seen: Visibility) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return query.selected(Store(model.documents(spark, sf_dir)), QuerySpec(visibility=seen)).select("document_id", "path")
+
+    return run
+
+
+for _name, (_seen, _where) in VISIBLE.items():
+    register(_name, f"WITH {D} SELECT id AS document_id, path FROM d WHERE {_where}")(_visible(_seen))
+
+
+@register("fp_repo_pattern", f"WITH {D} SELECT id AS document_id FROM d WHERE repo_id = 0 AND NOT starts_with(path, '.') AND NOT starts_with(path, ':')")
+def fp_repo_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    repos = spark.createDataFrame([(0, "alpha"), (1, "beta"), (2, ":deleted-gamma-2")], "id long, slug string")
+    own = Store(model.documents(spark, sf_dir), repos=repos)
+    return query.selected(own, QuerySpec(repos=("al*", ":del*"))).select("document_id")
+
+
+# Projection, order, limit
+
+_SEEN = "NOT starts_with(path, '.') AND NOT starts_with(path, ':')"
+
+
+@register(
+    "pr_select",
+    f"WITH {D} SELECT path, 'v' || id AS version, lang, CAST(quality AS VARCHAR) AS quality, source AS owner, "
+    f"sha256('---\nlang: ' || lang || '\n---\n' || body) AS hash FROM d WHERE {_SEEN} AND n_chars < 400",
+)
+def pr_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = QuerySpec(filter="n_chars < 400")
+    rows = query.selected(Store(model.documents(spark, sf_dir)), spec)
+    got = query.project(rows, ("$path", "$version_id", "lang", "quality", "meta.owner", "$content_hash"))
+    as_text = lambda c: F.try_variant_get(F.col(f"`{c}`"), "$", "string")
+    return got.select(
+        F.col("$path").alias("path"), F.col("$version_id").alias("version"), as_text("lang").alias("lang"),
+        as_text("quality").alias("quality"), as_text("meta.owner").alias("owner"), F.col("$content_hash").alias("hash"),
+    )
+
+
+@register(
+    "sl_default_order_limit",
+    f"WITH {D} SELECT path, created_at AS updated_at FROM d WHERE {_SEEN} AND lang = 'en' ORDER BY created_at DESC, id DESC LIMIT 50",
+)
+def sl_default_order_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = query.run_query(Store(model.documents(spark, sf_dir)), QuerySpec(filter='lang == "en"', select=("$path", "$updated_at")))
+    return got.select(F.col("$path").alias("path"), F.col("$updated_at").alias("updated_at"))
+
+
+@register("sl_limit_zero", f"WITH {D} SELECT path FROM d WHERE false")
+def sl_limit_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return query.run_query(Store(model.documents(spark, sf_dir)), QuerySpec(limit=0)).select(F.col("$path").alias("path"))
+
+
+@register("pr_rendered_file", f"""WITH {D} SELECT path, sha256('---\nlang: ' || lang || '\n$version: v' || id || '\n$content_hash: '
+  || sha256('---\nlang: ' || lang || '\n---\n' || body) || '\n---\n' || body) AS sha FROM d""")
+def pr_rendered_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markdown.rendered(model.documents(spark, sf_dir)).select("path", F.sha2("content", 256).alias("sha"))
+
+
+# Scans
+
+@register("sc_current_by_paths", f"WITH {D} SELECT id, path FROM d WHERE repo_id = 1 AND path IN ('en/src1/1.md', 'en/src7/7.md', 'fr/src10/10.md')")
+def sc_current_by_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.by_paths(model.documents(spark, sf_dir), 1, ["/en/src1/1.md", "EN/src7/7.md", "fr/src10/10.md"]).select("id", "path")
+
+
+@register("sc_matching_paths", f"WITH {D} SELECT id AS document_id FROM d WHERE regexp_matches(path, '^de/.*5[.]md$') OR regexp_matches(path, '^es/src2/')")
+def sc_matching_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.matching(model.documents(spark, sf_dir), ["^de/.*5[.]md$", "^es/src2/"])
+
+
+@register("sc_live", f"WITH {V} SELECT id, document_id, path FROM v WHERE id NOT IN (SELECT prev_id FROM v WHERE prev_id IS NOT NULL)")
+def sc_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.live(model.versions(spark, sf_dir)).select("id", "document_id", "path")
+
+
+@register("sc_by_documents", f"WITH {V} SELECT max(id) AS id FROM v WHERE document_id % 10 = 3 GROUP BY document_id")
+def sc_by_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = model.versions(spark, sf_dir)
+    return store.by_documents(store.live(log), log.where("document_id % 10 = 3")).select("id")
+
+
+# Graph predicates (JN, AG, ST)
+
+_OTHER = "JOIN n o ON o.id = lk.source_id WHERE lk.target_id = n.id"
+GRAPH_FILTERS = {
+    "jn_in": ('$in("order/**", "customer")', f"EXISTS (SELECT 1 FROM lk {_OTHER} AND o.path LIKE 'order/%' AND lk.field = 'customer')"),
+    "jn_has": ('$has("nation/1*.md")', "EXISTS (SELECT 1 FROM lk WHERE source_id = n.id AND target_norm LIKE 'nation/1%.md')"),
+    "jn_has_dangling": (
+        '$has("part/*7.md", "part") && kind == "order"',
+        "EXISTS (SELECT 1 FROM lk WHERE source_id = n.id AND target_norm LIKE 'part/%7.md' AND field = 'part')",
+    ),
+    "jn_orphans": ('!$in("**")', f"NOT EXISTS (SELECT 1 FROM lk {_OTHER})"),
+    "jn_backlinks_exists": (
+        '$backlinks().exists(b, b.kind == "order" && b.num > 400000)',
+        f"EXISTS (SELECT 1 FROM lk {_OTHER} AND o.kind = 'order' AND o.num > 400000)",
+    ),
+    "jn_links_exists_theta": (
+        'kind == "customer" && $links().exists(l, l.num > num)',
+        "kind = 'customer' AND EXISTS (SELECT 1 FROM lk JOIN n o ON o.id = lk.target_id WHERE lk.source_id = n.id AND o.num > n.num)",
+    ),
+    "jn_links_all": (
+        'kind == "order" && $links().all(l, l.kind != "part" || l.num <= 40)',
+        "kind = 'order' AND NOT EXISTS (SELECT 1 FROM lk JOIN n o ON o.id = lk.target_id WHERE lk.source_id = n.id AND NOT (o.kind <> 'part' OR o.num <= 40))",
+    ),
+    "ag_links_size": ("$links().size() > 8", "(SELECT count(*) FROM lk WHERE source_id = n.id) > 8"),
+    "ag_backlinks_size": ('size($backlinks()) >= 3 && kind != "part"', f"kind <> 'part' AND (SELECT count(*) FROM lk {_OTHER}) >= 3"),
+    "st_set_algebra": (
+        '$in("order/*1.md") && !$in("order/*2.md") || kind == "region" && $in("nation/*")',
+        f"(EXISTS (SELECT 1 FROM lk {_OTHER} AND o.path LIKE 'order/%1.md') AND NOT EXISTS (SELECT 1 FROM lk {_OTHER} AND o.path LIKE 'order/%2.md'))"
+        f" OR (kind = 'region' AND EXISTS (SELECT 1 FROM lk {_OTHER} AND o.path LIKE 'nation/%'))",
+    ),
+}
+
+
+def _graph_filter(source: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        own = model.graph_store(spark, sf_dir)
+        assert own.links is not None
+        return compile_filter(source, Tables(own.versions, own.links)).apply(own.versions).select("document_id", "path")
+
+    return run
+
+
+for _name, (_source, _where) in GRAPH_FILTERS.items():
+    register(_name, f"WITH {G} SELECT id AS document_id, path FROM n WHERE {_where}")(_graph_filter(_source))
+
+
+@register(
+    "ag_distinct_degree",
+    f"""WITH {G}, e AS (SELECT DISTINCT source_id, target_id FROM lk WHERE target_id IS NOT NULL),
+    o AS (SELECT source_id AS id, count(*) AS k FROM e GROUP BY 1), b AS (SELECT target_id AS id, count(*) AS k FROM e GROUP BY 1)
+    SELECT coalesce(o.id, b.id) AS document_id, coalesce(o.k, 0) AS links, coalesce(b.k, 0) AS backlinks FROM o FULL JOIN b ON o.id = b.id""",
+)
+def ag_distinct_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = model.graph_store(spark, sf_dir)
+    assert own.links is not None
+    return graph.degree_counts(own.versions, own.links, Visibility())
+
+
+# Neighbourhoods (GR)
+
+
+def _walk(root: str, degrees: int, way: str, keep: str = "true") -> str:
+    step = {"out": "SELECT source_id AS a, target_id AS b FROM lk WHERE target_id IS NOT NULL", "in": "SELECT target_id AS a, source_id AS b FROM lk WHERE target_id IS NOT NULL"}
+    both = f"{step['out']} UNION {step['in']}"
+    return f"""WITH RECURSIVE {G}, s AS MATERIALIZED (SELECT DISTINCT a, b FROM ({step.get(way, both)})),
+    w AS (SELECT id, 0 AS degrees FROM n WHERE path = '{root}'
+          UNION SELECT s.b, w.degrees + 1 FROM w JOIN s ON s.a = w.id JOIN n x ON x.id = s.b WHERE w.degrees < {degrees} AND ({keep})),
+    a AS (SELECT n.id, n.path, min(w.degrees) AS degrees FROM w JOIN n ON n.id = w.id GROUP BY ALL)"""
+
+
+def _spec(root: str, degrees: int, way: str, **more) -> graph.GraphSpec:
+    return graph.GraphSpec((root,), degrees, way, max_documents=500, **more)
+
+
+WALKS = {
+    "gr_bfs_out": ("order/1.md", 3, "out", None, "true"),
+    "gr_bfs_in": ("nation/1.md", 1, "in", None, "true"),
+    "gr_bfs_both": ("region/0.md", 2, "both", None, "true"),
+    "gr_filter": ("order/3.md", 3, "out", 'kind != "supplier"', "x.kind <> 'supplier'"),
+    "gr_filter_degrees": ("order/2.md", 3, "out", '$degrees < 2 || kind == "region" || kind == "nation"', "w.degrees + 1 < 2 OR x.kind IN ('region', 'nation')"),
+}
+
+
+def _bfs(root: str, degrees: int, way: str, keep: str | None) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        own = model.graph_store(spark, sf_dir)
+        return graph.graph(own, _spec(root, degrees, way, filter=keep), own.versions).documents.select(
+            "path", "degrees", F.try_variant_get("title", "$", "string").alias("title")
+        )
+
+    return run
+
+
+for _name, (_root, _deg, _way, _keep, _where) in WALKS.items():
+    register(_name, f"{_walk(_root, _deg, _way, _where)} SELECT a.path, degrees, title FROM a JOIN n ON n.id = a.id")(_bfs(_root, _deg, _way, _keep))
+
+
+@register(
+    "gr_induced",
+    _walk("order/1.md", 2, "out") + " SELECT DISTINCT s.path AS source, t.path AS target, field FROM lk JOIN a s ON s.id = lk.source_id JOIN a t ON t.id = lk.target_id",
+)
+def gr_induced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = model.graph_store(spark, sf_dir)
+    return graph.graph(own, _spec("order/1.md", 2, "out"), own.versions).links
+
+
+@register(
+    "gr_frontier",
+    _walk("order/1.md", 1, "out") + " SELECT DISTINCT a.path FROM a JOIN s ON s.a = a.id WHERE degrees = 1 AND s.b NOT IN (SELECT id FROM a)",
+)
+def gr_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = model.graph_store(spark, sf_dir)
+    return graph.graph(own, _spec("order/1.md", 1, "out"), own.versions).frontier.select("path")
+
+
+@register(
+    "gr_fields",
+    f"""WITH {G} SELECT path, degrees FROM (SELECT path, 0 AS degrees FROM n WHERE path = 'order/1.md'
+    UNION ALL SELECT DISTINCT n.path, 1 FROM lk JOIN n ON n.id = lk.target_id WHERE lk.source_id = {6 * KIND + 1} AND lk.field IN ('customer', 'supplier'))""",
+)
+def gr_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = model.graph_store(spark, sf_dir)
+    spec = _spec("order/1.md", 1, "out", fields=("customer", "supplier"))
+    return graph.graph(own, spec, own.versions).documents.select("path", "degrees")
+
+
+@register(
+    "gr_budget",
+    f"""WITH {G}, r AS (SELECT DISTINCT n.path FROM lk JOIN n ON n.id = lk.source_id WHERE lk.target_id = {2 * KIND + 1} ORDER BY n.path LIMIT 9)
+    SELECT path, 1 AS degrees, true AS truncated, 0 AS complete FROM r UNION ALL SELECT 'nation/1.md', 0, true, 0""",
+)
+def gr_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = model.graph_store(spark, sf_dir)
+    got = graph.graph(own, graph.GraphSpec(("nation/1.md",), 2, "in", max_documents=10), own.versions)
+    return got.documents.select("path", "degrees", F.lit(got.truncated).alias("truncated"), F.lit(got.complete_degrees).alias("complete"))
+
+
+# Full text (FT)
+
+_T = f"WITH {D}, t AS (SELECT id, list_filter(regexp_split_to_array(lower(body), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS terms FROM d)"
+
+
+def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fulltext.tokens(model.documents(spark, sf_dir), stemmed=False)
+
+
+TEXTS = {
+    "ft_and": ("idiot the", "list_contains(terms, 'idiot') AND list_contains(terms, 'the')"),
+    "ft_or": ("moron OR clown", "list_contains(terms, 'moron') OR list_contains(terms, 'clown')"),
+    "ft_phrase": ('"the and"', "contains(' ' || array_to_string(terms, ' ') || ' ', ' the and ')"),
+    "ft_phrase_and_term": ('"of the" thing', "contains(' ' || array_to_string(terms, ' ') || ' ', ' of the ') AND list_contains(terms, 'thing')"),
+}
+
+
+def _text(words: str) -> Query:
+    return lambda spark, sf_dir: fulltext.matches(_terms(spark, sf_dir), fulltext.parse(words, stemmed=False)).select("id")
+
+
+for _name, (_words, _where) in TEXTS.items():
+    register(_name, f"{_T} SELECT id FROM t WHERE {_where}")(_text(_words))
+
+
+@register(
+    "ft_bm25",
+    f"""{_T}, s AS (SELECT count(*) AS n, avg(len(terms)) AS m, count(*) FILTER (list_contains(terms, 'idiot')) AS d1,
+      count(*) FILTER (list_contains(terms, 'the')) AS d2 FROM t),
+    f AS (SELECT id, len(terms) AS l, CAST(len(list_filter(terms, lambda x: x = 'idiot')) AS DOUBLE) AS f1, CAST(len(list_filter(terms, lambda x: x = 'the')) AS DOUBLE) AS f2 FROM t)
+    SELECT id, round(ln((n - d1 + 0.5) / (d1 + 0.5) + 1) * f1 * 2.2 / (f1 + 1.2 * (0.25 + 0.75 * l / m))
+      + ln((n - d2 + 0.5) / (d2 + 0.5) + 1) * f2 * 2.2 / (f2 + 1.2 * (0.25 + 0.75 * l / m)), 6) AS score FROM f, s WHERE f1 > 0 AND f2 > 0""",
+)
+def ft_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fulltext.bm25(_terms(spark, sf_dir), fulltext.parse("idiot the", stemmed=False)).select("id", F.round("score", 6).alias("score"))
+
+
+@register("ft_postings", f"{_T}, p AS (SELECT id, unnest(terms) AS term FROM t) SELECT term, count(*) AS occurrences, count(DISTINCT id) AS documents FROM p GROUP BY term")
+def ft_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = fulltext.postings(_terms(spark, sf_dir))
+    return p.groupBy("term").agg(F.count(F.lit(1)).alias("occurrences"), F.count_distinct("id").alias("documents"))
+
+
+@register("ft_porter")
+def ft_porter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    indexed = fulltext.tokens(model.documents(spark, sf_dir))
+    return fulltext.matches(indexed, fulltext.parse("disgusting things")).select("id")
+
+
+# Vectors (VS)
+
+
+def _vector(spark: SparkSession, sf_dir: str) -> list[float]:
+    return list(model.table(spark, sf_dir, "embeddings").where("vec_id = 0").first().embedding)
+
+
+_DIST = "1 - list_cosine_similarity(e, (SELECT e FROM c WHERE vec_id = 0))"
+
+
+@register(
+    "vs_best_chunk",
+    f"WITH {C}, s AS (SELECT version_id, ix, {_DIST} AS q FROM c) SELECT version_id, CAST(ix AS INTEGER) AS ix, round(q, 6) AS distance FROM s "
+    "QUALIFY row_number() OVER (PARTITION BY version_id ORDER BY q, ix) = 1",
+)
+def vs_best_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = vectors.distances(model.chunks(spark, sf_dir), _vector(spark, sf_dir))
+    return vectors.ranked_chunks(scored).where("place = 1").select("version_id", "ix", F.round("distance", 6).alias("distance"))
+
+
+@register(
+    "vs_knn",
+    f"WITH {C}, s AS (SELECT version_id, min({_DIST}) AS q FROM c WHERE model = 'm0' GROUP BY 1) SELECT version_id, round(q, 6) AS distance FROM s ORDER BY q, version_id LIMIT 20",
+)
+def vs_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = vectors.nearest(model.chunks(spark, sf_dir), model.documents(spark, sf_dir), _vector(spark, sf_dir), 20, "m0")
+    return near.select("version_id", F.round("distance", 6).alias("distance"))
+
+
+@register(
+    "vs_semantic_filter",
+    f"""WITH {D}, {C}, s AS (SELECT version_id, min({_DIST}) AS q FROM c JOIN d ON d.id = version_id WHERE {_SEEN} GROUP BY 1 ORDER BY 2, 1 LIMIT 40)
+    SELECT path, round(1 - q, 6) AS score FROM s JOIN d ON d.id = version_id WHERE lang = 'en' ORDER BY q LIMIT 10""",
+)
+def vs_semantic_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = Store(model.documents(spark, sf_dir), chunks=model.chunks(spark, sf_dir))
+    spec = QuerySpec(filter='lang == "en"', semantic=tuple(_vector(spark, sf_dir)), select=("$path", "$semantic_score"), limit=10)
+    got = query.run_query(own, spec)
+    return got.select(F.col("$path").alias("path"), F.round("$semantic_score", 6).alias("score"))
+
+
+@register("ag_chunks_by_model", f"WITH {C} SELECT model, count(*) AS n FROM c GROUP BY model")
+def ag_chunks_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.model_summary(model.chunks(spark, sf_dir))
+
+
+@register("vs_unembedded", f"WITH {D}, {C} SELECT id FROM d WHERE id NOT IN (SELECT version_id FROM c)")
+def vs_unembedded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.unembedded(model.documents(spark, sf_dir), model.chunks(spark, sf_dir)).select("id")
+
+
+@register("fn_chunker")
+def fn_chunker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = F.replace(F.col("body"), F.lit("\n"), F.lit("\n\n"))
+    return vectors.chunked(model.documents(spark, sf_dir).withColumn("body", body)).select("version_id", "ix", "text_hash")
+
+
+@register("vs_embed_reuse", "SELECT text AS t, count(*) AS n FROM documents GROUP BY text HAVING length(t) BETWEEN 1 AND 200 AND NOT contains(t, chr(10)) AND trim(t) = t")
+def vs_embed_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    short = model.documents(spark, sf_dir).where("length(body) BETWEEN 1 AND 200 AND NOT contains(body, '\n') AND trim(body) = body")
+    cut = vectors.chunked(short)
+    known = spark.createDataFrame([], store.CHUNK_SCHEMA)
+    done = vectors.embed(cut, known, vectors.hash_embedder(), "hash")
+    return done.groupBy(F.col("text").alias("t")).agg(F.count("embedding").alias("n"))
+
+
+# History and feed (HS)
+
+
+@register("hs_chain_depths", f"WITH {V} SELECT id, row_number() OVER (PARTITION BY document_id ORDER BY id) - 1 AS depth FROM v")
+def hs_chain_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.depths(model.versions(spark, sf_dir))
+
+
+@register(
+    "hs_chain",
+    f"WITH {V}, h AS (SELECT max(id) AS id FROM v WHERE document_id = 8) SELECT v.id, path, CAST(row_number() OVER (ORDER BY v.id DESC) - 1 AS INTEGER) AS depth FROM v WHERE document_id = 8 ORDER BY id DESC LIMIT 20",
+)
+def hs_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = model.versions(spark, sf_dir)
+    head = log.where("document_id = 8").agg(F.max("id")).first()[0]
+    return history.chain(log, head, 20).select("id", "path", "depth")
+
+
+@register("hs_next", f"WITH {V} SELECT a.id, b.id AS next_id FROM v a LEFT JOIN v b ON b.prev_id = a.id")
+def hs_next(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.with_next(model.versions(spark, sf_dir)).select("id", "next_id")
+
+
+_OP = "CASE WHEN p.path IS NULL THEN 'create' WHEN v.path = p.path THEN 'update' WHEN starts_with(v.path, ':') THEN 'delete' ELSE 'move' END"
+
+
+@register("hs_ops", f"WITH {V} SELECT v.id, v.path, p.path AS prev_path, {_OP} AS op FROM v LEFT JOIN v p ON p.id = v.prev_id")
+def hs_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.refs(model.versions(spark, sf_dir)).select("id", "path", "prev_path", "op")
+
+
+@register(
+    "hs_list_ever",
+    f"""WITH {V} SELECT v.id, v.path, {_OP} AS op FROM v LEFT JOIN v p ON p.id = v.prev_id
+    WHERE v.document_id IN (SELECT document_id FROM v WHERE starts_with(path, 'purchase/')) AND v.id > 100 AND v.id <= 900 ORDER BY v.id DESC LIMIT 200""",
+)
+def hs_list_ever(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = history.listing(model.versions(spark, sf_dir), ("purchase/**",), True, 100, 900, ALL, True, 200)
+    return got.select("id", "path", "op")
+
+
+@register(
+    "hs_list_live",
+    f"""WITH {V} SELECT id, path FROM v WHERE document_id IN (SELECT document_id FROM v WHERE id NOT IN (SELECT prev_id FROM v WHERE prev_id IS NOT NULL) AND starts_with(path, 'click/'))
+    AND NOT starts_with(path, ':') ORDER BY id LIMIT 100""",
+)
+def hs_list_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.listing(model.versions(spark, sf_dir), ("click/*",), descending=False).select("id", "path")
+
+
+_GAPS = f"""WITH {V}, g AS (SELECT * FROM v WHERE id % 17 <> 0), k AS (SELECT count(*) AS n FROM events),
+now AS (SELECT epoch_ms(ts) AS ms FROM events, k WHERE event_id = CAST(floor(n * 0.45) AS BIGINT))"""
+
+
+def _gappy(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int, int]:
+    log = model.versions(spark, sf_dir)
+    n = log.count()
+    now = model.table(spark, sf_dir, "events").where(F.col("event_id") == int(n * 0.45)).select(F.unix_millis(F.to_timestamp(F.date_format("ts", model.ISO))).alias("ms")).first().ms
+    return log.where("id % 17 <> 0"), n, now
+
+
+@register(
+    "hs_since_gap",
+    f"""{_GAPS}, r AS (SELECT g.id, g.path, lag(g.id, 1, CAST(floor(n * 0.4) AS BIGINT)) OVER (ORDER BY g.id) AS b, ms - epoch_ms(g.ts) AS age FROM g, k, now WHERE g.id > floor(n * 0.4)),
+    u AS (SELECT coalesce(min(b) FILTER (r.id > b + 1 AND age < 30000), max(r.id)) AS upper FROM r)
+    SELECT r.id, r.path, upper FROM r, u WHERE r.id <= upper ORDER BY r.id LIMIT 500""",
+)
+def hs_since_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log, n, now = _gappy(spark, sf_dir)
+    page, upper = history.feed(log, int(n * 0.4), now, visibility=ALL)
+    return page.select("id", "path", F.lit(upper).cast("long").alias("upper"))
+
+
+@register(
+    "hs_since_page",
+    f"""{_GAPS}, m AS (SELECT id, path FROM g, k WHERE id > floor(n * 0.1) AND repo_id = 1 ORDER BY id LIMIT 25) SELECT id, path, (SELECT max(id) FROM m) AS upper FROM m""",
+)
+def hs_since_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log, n, now = _gappy(spark, sf_dir)
+    page, upper = history.feed(log, int(n * 0.1), now, repo_id=1, limit=25, visibility=ALL)
+    return page.select("id", "path", F.lit(upper).cast("long").alias("upper"))
+
+
+@register(
+    "hs_safe_head",
+    f"""{_GAPS}, t AS (SELECT id, ts FROM g ORDER BY id DESC LIMIT 1000),
+    r AS (SELECT id, lag(id, 1, (SELECT min(id) - 1 FROM t)) OVER (ORDER BY id) AS b, (SELECT max(epoch_ms(ts)) + 5000 FROM t) - epoch_ms(ts) AS age FROM t)
+    SELECT coalesce(min(b) FILTER (id > b + 1 AND age < 600000), max(id)) AS head FROM r""",
+)
+def hs_safe_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log, _, _ = _gappy(spark, sf_dir)
+    last = log.agg(F.max(F.unix_millis(F.to_timestamp("created_at"))).alias("m")).first().m
+    return spark.createDataFrame([(history.safe_head(log, last + 5000, 600_000),)], "head long")
+
+
+@register(
+    "hs_index",
+    f"""WITH {V}, t AS (SELECT * FROM v WHERE id <= 700) SELECT id, path FROM t WHERE id NOT IN (SELECT prev_id FROM t WHERE prev_id IS NOT NULL) AND id > 100 ORDER BY id LIMIT 1000""",
+)
+def hs_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.index(model.versions(spark, sf_dir), 700, 100).select("id", "path")
+
+
+@register("hs_content_hash_backfill", f"WITH {D} SELECT id, sha256('---\nlang: ' || lang || '\n---\n' || body) AS content_hash FROM d")
+def hs_content_hash_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.with_hashes(model.documents(spark, sf_dir)).select("id", "content_hash")
+
+
+@register(
+    "hs_net_effect",
+    f"""WITH {V}, r AS (SELECT v.id, v.document_id, v.path, p.path AS prev_path FROM v LEFT JOIN v p ON p.id = v.prev_id WHERE v.id > 300)
+    SELECT document_id, arg_max(path, id) AS path, (SELECT x.prev_path FROM r x WHERE x.document_id = r.document_id ORDER BY x.id LIMIT 1) AS prev_path, max(id) AS id FROM r GROUP BY document_id""",
+)
+def hs_net_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = sync.net_effect(history.refs(model.versions(spark, sf_dir)).where("id > 300"))
+    return got.select("document_id", "path", "prev_path", "id")
+
+
+@register(
+    "hs_bursts",
+    """WITH e AS (SELECT event_type || '/' || (user_id % 5) AS path, ts, event_type <> 'error' AS present FROM events),
+    f AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY path ORDER BY ts) < INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS s FROM e),
+    g AS (SELECT *, sum(s) OVER (PARTITION BY path ORDER BY ts) AS k FROM f)
+    SELECT path, min(ts) AS started, max(ts) + INTERVAL 10 MINUTE AS ended, count(*) AS n, bool_or(present) AS present FROM g GROUP BY path, k""",
+)
+def hs_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = model.table(spark, sf_dir, "events")
+    changes = e.select(
+        F.concat("event_type", F.lit("/"), F.col("user_id") % 5).alias("path"), F.col("ts").alias("at"), (F.col("event_type") != "error").alias("present")
+    )
+    return sync.bursts(changes, "10 minutes")
+
+
+@register(
+    "hs_reconcile",
+    f"""WITH {D}, l AS (SELECT path, CASE WHEN id % 6 = 0 THEN NULL WHEN id % 6 = 1 THEN id + 1000000 WHEN id % 6 = 2 THEN id + 1 ELSE id END AS version_id,
+        CASE WHEN id % 5 = 0 THEN 'old' ELSE 'h' || id END AS stamp, CASE WHEN id % 4 = 0 THEN 'new' ELSE 'h' || id END AS hash, id % 37 = 0 AS ignored FROM d WHERE id % 11 <> 0),
+    r AS (SELECT path, id AS version_id, 'h' || id AS hash FROM d WHERE id % 13 <> 0)
+    SELECT coalesce(l.path, r.path) AS path, CASE
+      WHEN l.ignored THEN 'ignored' WHEN l.path IS NULL THEN 'materialize'
+      WHEN r.path IS NOT NULL AND l.hash = r.hash THEN CASE WHEN l.version_id = r.version_id AND l.stamp = r.hash THEN 'clean' ELSE 'adopt' END
+      WHEN r.path IS NOT NULL AND l.version_id IS NULL THEN 'rebase'
+      WHEN r.path IS NOT NULL AND l.version_id = r.version_id THEN CASE WHEN l.stamp <> l.hash THEN 'push' ELSE 'clean' END
+      WHEN r.path IS NOT NULL THEN CASE WHEN l.stamp <> l.hash THEN 'rebase' ELSE 'materialize' END
+      WHEN l.version_id IS NULL OR l.version_id IN (SELECT version_id FROM r) OR (l.path, l.version_id) NOT IN (SELECT path, id FROM d) THEN 'push'
+      WHEN l.stamp <> l.hash THEN 'resurrect' ELSE 'delete-local' END AS verdict
+    FROM l FULL JOIN r ON l.path = r.path""",
+)
+def hs_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = model.documents(spark, sf_dir).select("id", "path")
+    name = F.concat(F.lit("h"), "id")
+    version = F.when(F.col("id") % 6 == 0, None).when(F.col("id") % 6 == 1, F.col("id") + 1000000).when(F.col("id") % 6 == 2, F.col("id") + 1).otherwise(F.col("id"))
+    local = d.where("id % 11 <> 0").select(
+        "path", version.alias("version_id"), F.when(F.col("id") % 5 == 0, "old").otherwise(name).alias("stamped_hash"),
+        F.when(F.col("id") % 4 == 0, "new").otherwise(name).alias("hash"), (F.col("id") % 37 == 0).alias("ignored"),
+    )
+    remote = d.where("id % 13 <> 0").select("path", F.col("id").alias("version_id"), name.alias("hash"))
+    return sync.reconcile(local, remote, d.select("path", F.col("id").alias("version_id")))
+
+
+# Links (LN)
+
+_HREF = """h AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href, generate_subscripts(regexp_extract_all(html, 'href="([^"]*)"', 1), 1) - 1 AS ord FROM pages),
+t AS (SELECT page_id, CAST(ord AS INTEGER) AS ord, ltrim(href, '/') AS target FROM h)"""
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as Markdown documents that hold the page's links."""
+    p = model.table(spark, sf_dir, "pages")
+    found = F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))
+    body = F.array_join(F.transform(found, lambda h: F.concat(F.lit("[t](<"), h, F.lit(">)"))), " ")
+    path = F.concat(F.lit("pages/"), "page_id", F.lit(".md"))
+    return p.select(
+        F.col("page_id").alias("id"), F.col("page_id").alias("document_id"), F.lit(0).cast("long").alias("repo_id"), path.alias("path"),
+        path.alias("path_norm"), body.alias("body"), F.parse_json(F.lit("{}")).alias("frontmatter"),
+    )
+
+
+@register("ln_extract", f"WITH {_HREF} SELECT page_id AS source_id, ord, target FROM t")
+def ln_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = links.extracted(_pages(spark, sf_dir))
+    return got.select("source_id", "ord", F.get("candidates", F.lit(0)).alias("target"))
+
+
+def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents at every second link target, by length."""
+    names = links.extracted(_pages(spark, sf_dir)).select(F.get("candidates", F.lit(0)).alias("path")).distinct()
+    return names.where("length(path) % 2 = 0").select(
+        F.lit(0).cast("long").alias("repo_id"), "path", F.lower("path").alias("path_norm"), F.concat(F.lit("9"), F.length("path")).cast("long").alias("document_id")
+    )
+
+
+@register(
+    "ln_resolve",
+    f"""WITH {_HREF}, x AS (SELECT DISTINCT lower(target) AS n, CAST('9' || length(target) AS BIGINT) AS id FROM t WHERE length(target) % 2 = 0)
+    SELECT page_id AS source_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY ord) - 1 AS INTEGER) AS ord, lower(target) AS target_norm, id AS target_id
+    FROM t LEFT JOIN x ON lower(target) = n WHERE id IS DISTINCT FROM page_id""",
+)
+def ln_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    live = _named(spark, sf_dir).dropDuplicates(["path_norm"])
+    return links.resolved(links.extracted(_pages(spark, sf_dir)), live).select("source_id", "ord", "target_norm", "target_id")
+
+
+@register("ln_bind_danglers", f"WITH {G} SELECT source_id, ord, {5 * KIND} + CAST(regexp_extract(target_norm, '[0-9]+') AS BIGINT) AS target_id FROM lk WHERE target_id IS NULL")
+def ln_bind_danglers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = model.links(spark, sf_dir).where("target_id IS NULL")
+    part = model.table(spark, sf_dir, "part").where("p_size = 1")
+    path = F.concat(F.lit("part/"), "p_partkey", F.lit(".md"))
+    live = part.select(F.lit(0).cast("long").alias("repo_id"), path.alias("path_norm"), (F.col("p_partkey") + 5 * KIND).alias("document_id"))
+    return links.bind_danglers(own, live).select("source_id", "ord", "target_id")
+
+
+@register(
+    "ln_stale",
+    f"WITH {G} SELECT source_id, ord, 'moved/' || target_norm AS current_path FROM lk JOIN n ON n.id = target_id WHERE n.kind = 'part' AND n.num = 2",
+)
+def ln_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = model.nodes(spark, sf_dir)
+    moved = F.col("path").startswith("part/") & (F.try_variant_get("frontmatter", "$.num", "double") == 2)
+    own = own.withColumns({c: F.when(moved, F.concat(F.lit("moved/"), F.col(c))).otherwise(F.col(c)) for c in ("path", "path_norm")})
+    return links.stale(model.links(spark, sf_dir), own).select("source_id", "ord", "current_path")
+
+
+@register("ln_repair")
+def ln_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _pages(spark, sf_dir)
+    live = _named(spark, sf_dir).dropDuplicates(["path_norm", "document_id"])
+    table = links.resolved(links.extracted(pages), live.dropDuplicates(["path_norm"]))
+    moved = live.dropDuplicates(["document_id"]).withColumns({"path": F.concat(F.lit("moved/"), "path"), "path_norm": F.concat(F.lit("moved/"), "path_norm")})
+    both = pages.unionByName(
+        moved.withColumns({"id": F.col("document_id"), "body": F.lit(""), "frontmatter": F.parse_json(F.lit("{}"))}).select(pages.columns)
+    )
+    return links.repair(both, table).select("source_id", "path", F.sha2("body", 256).alias("sha"))
+
+
+# Functions (FN)
+
+
+@register("fn_deleted_path", f"WITH {D} SELECT id, ':deleted/' || regexp_replace(path, '[.]md$', '-v' || id || '.md') AS path FROM d")
+def fn_deleted_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return model.documents(spark, sf_dir).select("id", columns.deleted_path(F.col("path"), F.col("id")).alias("path"))
+
+
+@register("fn_fold_path", f"WITH {D} SELECT id, lower(nfc_normalize(body)) AS folded FROM d WHERE n_chars < 1000")
+def fn_fold_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return model.documents(spark, sf_dir).where("length(body) < 1000").select("id", columns.fold_path("body").alias("folded"))
+
+
+@register("fn_version_ref", f"WITH {V} SELECT id, 'v' || id AS ref, id AS number FROM v")
+def fn_version_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ref = columns.version_ref(F.col("id"))
+    return model.versions(spark, sf_dir).select("id", ref.alias("ref"), columns.version_number(ref).alias("number"))
+
+
+@register("fn_diff")
+def fn_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = model.table(spark, sf_dir, "conversations")
+    pairs = turns.alias("a").join(turns.alias("b"), (F.col("a.conv_id") == F.col("b.conv_id")) & (F.col("b.turn") == F.col("a.turn") + 1))
+    return pairs.select("a.conv_id", "a.turn", columns.diffed("a.text", "b.text", F.lit("old"), F.lit("new")).alias("patch"))
+
+
+# Backlog (AG6, SL10)
+
+_B = """b AS (SELECT event_id AS version_id, CAST(event_id % 4 AS INTEGER) AS attempts,
+  CASE WHEN event_id % 4 > 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' END AS next_retry_at FROM events WHERE event_type = 'error')"""
+
+
+def _backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = model.table(spark, sf_dir, "events").where("event_type = 'error'")
+    tries = (F.col("event_id") % 4).cast("int")
+    return e.select(
+        F.col("event_id").alias("version_id"), tries.alias("attempts"), F.when(tries > 0, F.lit("failed")).alias("last_error"),
+        F.when(tries > 0, F.date_format("ts", model.ISO)).alias("next_retry_at"),
+    )
+
+
+@register(
+    "ag_backlog_status",
+    f"""WITH {_B} SELECT count(*) AS pending, count(*) FILTER (next_retry_at IS NULL OR next_retry_at <= '2024-01-02T00:00:00.000Z') AS due,
+    count(*) FILTER (attempts > 0) AS failing, min(next_retry_at) AS oldest_retry FROM b""",
+)
+def ag_backlog_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return writes.backlog_status(_backlog(spark, sf_dir), "2024-01-02T00:00:00.000Z")
+
+
+@register(
+    "sl_backlog_dequeue",
+    f"WITH {_B} SELECT version_id, attempts FROM b WHERE next_retry_at IS NULL OR next_retry_at <= '2024-01-02T00:00:00.000Z' ORDER BY next_retry_at NULLS FIRST, version_id LIMIT 30",
+)
+def sl_backlog_dequeue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return writes.dequeue(_backlog(spark, sf_dir), "2024-01-02T00:00:00.000Z", 30).select("version_id", "attempts")
+
+
+@register("hs_retry_delay", f"WITH {_B} SELECT version_id, least(30.0 * pow(2.0, attempts - 1), 3600.0) AS delay FROM b")
+def hs_retry_delay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _backlog(spark, sf_dir).select("version_id", history.retry_delay_s(F.col("attempts")).alias("delay"))
+
+
+# Scrub (VF). Conversations as chains with planted faults.
+
+_W = """w AS (SELECT conv_id * 1000 + turn AS id, conv_id AS document_id, CASE WHEN conv_id % 10 = 5 AND turn = 0 THEN 9 ELSE 0 END AS repo_id,
+    CASE WHEN turn > 0 THEN conv_id * 1000 + turn - 1 + CASE WHEN conv_id % 10 = 6 AND turn = 1 THEN 500 ELSE 0 END END AS prev_id,
+    CASE WHEN conv_id % 10 = 3 AND turn = 0 THEN NULL
+         WHEN lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) IS NOT NULL THEN conv_id * 1000 + lead(turn) OVER (PARTITION BY conv_id ORDER BY turn)
+         WHEN conv_id % 10 = 4 THEN 999999999 END AS next_id,
+    'chat/' || (conv_id // CASE WHEN conv_id % 20 < 2 THEN 20 ELSE 1 END) || CASE WHEN conv_id % 20 < 2 THEN 'x' ELSE '' END || '.md' AS path FROM conversations)"""
+
+
+def _faulty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = model.table(spark, sf_dir, "conversations")
+    after = F.lead("turn").over(Window.partitionBy("conv_id").orderBy("turn"))
+    conv, turn = F.col("conv_id"), F.col("turn")
+    twin = conv % 20 < 2
+    path = F.concat(F.lit("chat/"), F.when(twin, F.concat(F.floor(conv / 20).cast("string"), F.lit("x"))).otherwise(conv.cast("string")), F.lit(".md"))
+    return x.select(
+        (conv * 1000 + turn).alias("id"), conv.alias("document_id"),
+        F.when((conv % 10 == 5) & (turn == 0), 9).otherwise(0).cast("long").alias("repo_id"),
+        F.when(turn > 0, conv * 1000 + turn - 1 + F.when((conv % 10 == 6) & (turn == 1), 500).otherwise(0)).alias("prev_id"),
+        F.when((conv % 10 == 3) & (turn == 0), None).when(after.isNotNull(), conv * 1000 + after).when(conv % 10 == 4, 999999999).cast("long").alias("next_id"),
+        path.alias("path"), path.alias("path_norm"),
+    )
+
+
+@register(
+    "vf_chain",
+    f"""WITH {_W}, h AS (SELECT document_id, count(*) FILTER (next_id IS NULL) AS n FROM w GROUP BY 1), f AS (
+    SELECT 'chain.multiple_current' AS c FROM h WHERE n > 1 UNION ALL SELECT 'chain.no_current' FROM h WHERE n = 0
+    UNION ALL SELECT 'chain.repo_mismatch' FROM w WHERE repo_id <> 0
+    UNION ALL SELECT CASE WHEN i.id IS NULL THEN 'chain.broken_prev' ELSE 'chain.prev_next_asymmetry' END FROM w LEFT JOIN w i ON i.document_id = w.document_id AND i.id = w.prev_id
+      WHERE w.prev_id IS NOT NULL AND (i.id IS NULL OR i.next_id IS DISTINCT FROM w.id)
+    UNION ALL SELECT CASE WHEN i.id IS NULL THEN 'chain.broken_prev' ELSE 'chain.prev_next_asymmetry' END FROM w LEFT JOIN w i ON i.document_id = w.document_id AND i.id = w.next_id
+      WHERE w.next_id IS NOT NULL AND (i.id IS NULL OR i.prev_id IS DISTINCT FROM w.id)
+    UNION ALL SELECT 'chain.multiple_live_at_path' FROM (SELECT repo_id, path FROM w WHERE next_id IS NULL GROUP BY ALL HAVING count(*) > 1)
+    UNION ALL SELECT 'chain.orphan_document' FROM (SELECT 1 UNION ALL SELECT 2))
+    SELECT c AS "check", count(*) AS n FROM f GROUP BY 1""",
+)
+def vf_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = _faulty(spark, sf_dir)
+    owners = log.select("document_id").distinct().withColumn("repo_id", F.lit(0).cast("long"))
+    lone = spark.createDataFrame([(-1, 0), (-2, 0)], "document_id long, repo_id long")
+    found = verify.verify(Store(log, documents=owners.unionByName(lone)), ["chain"])
+    return found.where("check <> 'chain.cycle'").groupBy("check").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register(
+    "vf_cycle",
+    "SELECT conv_id AS document_id FROM conversations GROUP BY conv_id HAVING conv_id % 10 = 7 AND max(turn) >= 2",
+)
+def vf_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = _faulty(spark, sf_dir)
+    loop = (F.col("document_id") % 10 == 7) & (F.col("id") % 1000 == 0)
+    has_more = F.max(F.col("id") % 1000).over(Window.partitionBy("document_id")) >= 2
+    looped = log.withColumn("prev_id", F.when(loop & has_more, F.col("id") + 1).otherwise(F.col("prev_id")))
+    # Chains cut by the other faults end, so only the planted loops remain.
+    return verify.cycles(looped).select("document_id").distinct()
+
+
+@register(
+    "vf_hash",
+    f"WITH {D} SELECT CASE WHEN id % 17 = 0 THEN 'hash.missing' ELSE 'hash.mismatch' END AS \"check\", id AS version_id FROM d WHERE id % 17 = 0 OR id % 13 = 0",
+)
+def vf_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = history.with_hashes(model.documents(spark, sf_dir))
+    bad = good.withColumn("content_hash", F.when(F.col("id") % 17 == 0, None).when(F.col("id") % 13 == 0, "bad").otherwise(F.col("content_hash")))
+    return verify.verify(Store(bad), ["hash"]).select("check", "version_id")
+
+
+@register(
+    "vf_frontmatter",
+    f"""WITH {D} SELECT CASE WHEN id % 10 = 1 THEN 'frontmatter.parse_error' WHEN id % 10 = 2 THEN 'frontmatter.system_leak' ELSE 'frontmatter.divergence' END AS "check", id AS version_id
+    FROM d WHERE id % 10 IN (1, 2, 3)""",
+)
+def vf_frontmatter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = model.documents(spark, sf_dir)
+    kind = F.col("id") % 10
+    raw = F.when(kind == 1, "a: [b").when(kind == 2, "$version: v1\n").when(kind == 3, "lang: xx\n").otherwise(F.col("frontmatter_raw"))
+    json = F.when(kind == 2, F.lit('{"$version":"v1"}')).otherwise(F.concat(F.lit('{"lang":"'), F.try_variant_get("frontmatter", "$.lang", "string"), F.lit('"}')))
+    found = verify.verify(Store(d.withColumns({"frontmatter_raw": raw, "frontmatter": F.parse_json(json)})), ["frontmatter"])
+    return found.select("check", "version_id")
+
+
+@register(
+    "vf_fts",
+    f"""WITH {D} SELECT 'fts.missing' AS "check", id AS version_id FROM d WHERE id % 50 = 1 UNION ALL SELECT 'fts.orphan', id + 10000000 FROM d WHERE id % 50 = 2""",
+)
+def vf_fts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = model.documents(spark, sf_dir)
+    held = d.where("id % 50 <> 1").select("id").unionByName(d.where("id % 50 = 2").select((F.col("id") + 10000000).alias("id")))
+    return verify.verify(Store(d), ["fts"], indexed=held).select("check", "version_id")
+
+
+@register(
+    "vf_chunks",
+    f"""WITH {D}, {C}, k AS (SELECT id FROM d WHERE id % 9 <> 0), f AS (
+    SELECT 'chunks.orphan' AS c, version_id FROM c WHERE version_id NOT IN (SELECT id FROM k) GROUP BY ALL
+    UNION ALL SELECT 'chunks.mixed_dim', version_id FROM c WHERE vec_id % 40 = 0
+    UNION ALL SELECT 'chunks.backlog_orphan', -5
+    UNION ALL SELECT 'chunks.unembedded', id FROM k WHERE id NOT IN (SELECT version_id FROM c) AND id % 100 <> 1)
+    SELECT c AS "check", count(*) AS n, sum(version_id) AS ids FROM f GROUP BY 1""",
+)
+def vf_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = model.documents(spark, sf_dir).where("id % 9 <> 0")
+    cut = F.when((F.col("version_id") * 4 + F.col("ix")) % 40 == 0, F.slice("embedding", 1, 32)).otherwise(F.col("embedding"))
+    own = model.chunks(spark, sf_dir).withColumn("embedding", cut)
+    waiting = d.where("id % 100 = 1").select(F.col("id").alias("version_id")).unionByName(spark.createDataFrame([(-5,)], "version_id long"))
+    found = verify.verify(Store(d, chunks=own, backlog=waiting), ["chunks"])
+    return found.groupBy("check").agg(F.count(F.lit(1)).alias("n"), F.sum("version_id").alias("ids"))
+
+
+@register(
+    "vf_links",
+    f"""WITH {G}, f AS (
+      SELECT 'links.misresolved_dangling' AS c FROM lk WHERE target_id IS NOT NULL AND field = 'supplier' AND source_id % 100 = 7
+      UNION ALL SELECT 'links.misresolved_bound' FROM lk WHERE target_id IS NOT NULL AND field = 'customer' AND source_id % 50 = 3
+      UNION ALL SELECT 'links.self_link' FROM lk WHERE field = 'region'
+      UNION ALL SELECT 'links.misresolved_bound' FROM lk WHERE field = 'region')
+    SELECT c AS "check", count(*) AS n FROM f GROUP BY 1""",
+)
+def vf_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = model.graph_store(spark, sf_dir)
+    assert own.links is not None
+    source, of = F.col("source_id"), F.col("field")
+    bad = own.links.withColumns(
+        {
+            "target_id": F.when((of == "supplier") & (source % 100 == 7), None).when(of == "region", source).otherwise(F.col("target_id")),
+            "target_norm": F.when((of == "customer") & (source % 50 == 3), "nowhere.md").otherwise(F.col("target_norm")),
+        }
+    )
+    found = verify.link_checks(own.versions, bad, extract=False)
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    # Links to missing parts dangle rightly: no live document has their path.
+    return out.groupBy("check").agg(F.count(F.lit(1)).alias("n"))

@@ -85,6 +85,10 @@ def matches(indexed: DataFrame, query: TextQuery) -> DataFrame:
     return indexed.where(found)
 
 
+def _times(word: str) -> Column:
+    return F.size(F.filter("terms", lambda t: t == word))
+
+
 def bm25(indexed: DataFrame, query: TextQuery) -> DataFrame:
     """(id, score) of the matches, higher is better. One pass gathers the number of rows, their mean
     length and in how many each term of the query occurs; it gives a single row."""
@@ -93,7 +97,7 @@ def bm25(indexed: DataFrame, query: TextQuery) -> DataFrame:
     stats = indexed.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("terms")).alias("mean"), *held)
     score = F.lit(0.0)
     for i, w in enumerate(words):
-        tf = F.size(F.filter("terms", lambda t, w=w: t == w)).cast("double")
+        tf = _times(w).cast("double")
         idf = F.log((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5) + 1)
         score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.size("terms") / F.col("mean")))
     # The other side is the one row of totals.
