@@ -51,3 +51,12 @@ def held(rows: DataFrame, name: str, value: Column) -> DataFrame:
     """``rows`` with ``value`` computed once. The optimiser copies the expression behind a plain column
     into every filter and lambda that uses it; it can't do so through a generator."""
     return rows.select(*[F.col(c) for c in rows.columns if c != name], F.explode(F.array(value)).alias(name))
+
+
+def named(column: str) -> Column:
+    """The column of that name, whatever characters it holds."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def every(df: DataFrame) -> list[Column]:
+    return [named(c) for c in df.columns]

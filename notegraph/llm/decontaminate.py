@@ -60,12 +60,9 @@ def with_simhash(rows: DataFrame, shingles: str, into: str) -> DataFrame:
 def blocks(fp: Column, radius: int = RADIUS) -> Column:
     """The ``radius`` + 1 blocks of a fingerprint, each tagged with its place."""
     edges = [64 * k // (radius + 1) for k in range(radius + 2)]
-    return F.array(
-        *[
-            F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).bitwiseOR(F.lit(k << 40))
-            for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))
-        ]
-    )
+    # Bits a to b alone; a hash of two places can only add candidates.
+    part = lambda a, b: F.shiftrightunsigned(F.shiftleft(fp, 64 - b), 64 - b + a)
+    return F.array(*[F.xxhash64(F.lit(k), part(a, b)) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))])
 
 
 def leaks(
@@ -137,8 +134,8 @@ def leaks(
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` without a leak; rows with a null identifier stay."""
-    found = leaks(docs, benchmark).select("doc_id").distinct().where("doc_id IS NOT NULL")
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    found = leaks(docs, benchmark).select(F.col("doc_id").alias("_leaky")).distinct()
+    return docs.join(found, F.col("doc_id") == F.col("_leaky"), "left_anti")
 
 
 SQL = r"""

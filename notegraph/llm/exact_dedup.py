@@ -7,11 +7,11 @@ compared in full: the window below starts a new group wherever two neighbouring
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from notegraph.llm.common import ascii_lower, durable
+from notegraph.llm.common import ascii_lower, durable, every
 
 #: A text held by more than this share of the rows is sorted in SALTS parts, so at most 1 / HOT_SHARE
 #: texts are; that bounds the list sent to the executors.
@@ -25,7 +25,7 @@ def exact_dedup(
     id_col: str = "doc_id",
     text_col: str = "text",
     keep: str = "smallest",
-    columns: tuple[str, ...] = (),
+    columns: tuple[Column, ...] = (),
 ) -> DataFrame:
     """One row for each row of ``docs``: (doc_id, keep_id, group_size, kept, text_sha256), and with
     ``columns`` those of its row too, as the struct ``row``, and ``place``, which is 1 for one of the kept rows of a group.
@@ -40,7 +40,7 @@ def exact_dedup(
         raise ValueError(f"keep: {keep!r}")
     stays = F.min if keep == "smallest" else F.max
     rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.struct(*(columns or (text_col,))).alias("row")
+        F.col(id_col).cast("long").alias("doc_id"), F.struct(*(columns or (F.col(text_col),))).alias("row")
     )
     raw = F.coalesce(F.col("row")[text_col], F.lit(""))
     folded = F.lower(raw)
@@ -98,7 +98,7 @@ def unique(docs: DataFrame, keep: str = "smallest") -> DataFrame:
     """The rows of ``docs`` whose text's kept identifier is their own; a row repeated whole stays once,
     and so does one text among rows without identifier."""
     # Rows with one identifier are in the same part of a text that was split, so one has place 1.
-    return exact_dedup(docs, keep=keep, columns=tuple(docs.columns)).where("kept AND place = 1").select("row.*")
+    return exact_dedup(docs, keep=keep, columns=tuple(every(docs))).where("kept AND place = 1").select("row.*")
 
 
 SQL = """

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from notegraph.llm import ngrams
+from notegraph.llm.common import named
 from notegraph.llm.toxicity import fold_of, training_rows
 
 BITS = 18
@@ -155,7 +156,9 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float, float], columns: tupl
     """``columns`` of each row and ``score``, the probability of label 1 for the whole text. Null and
     empty texts get the score of the intercept. Other columns are ignored; an empty table gives none."""
     sent = docs.sparkSession.sparkContext.broadcast((model[0].astype(np.float32), *model[1:]))
-    rows = docs.select(*columns, F.col(text_col).cast("binary").alias("_scored_text"))
+    # Arrow functions don't take names with dots, so the columns go by their places.
+    places = [named(c).alias(f"c{i}") for i, c in enumerate(columns)]
+    rows = docs.select(*places, F.col(text_col).cast("binary").alias("text"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, a, b = sent.value
@@ -171,7 +174,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float, float], columns: tupl
             )
 
     schema = T.StructType(rows.schema.fields[:-1])
-    return rows.mapInArrow(each, schema.add("score", T.DoubleType()))
+    return rows.mapInArrow(each, schema.add("score", T.DoubleType())).toDF(*columns, "score")
 
 
 def quality(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> DataFrame:

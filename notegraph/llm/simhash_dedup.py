@@ -154,5 +154,5 @@ def near_dedup(
 
 def unique(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose identifier is that of their component; rows with null identifiers stay."""
-    later = near_dedup(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(later, "doc_id", "left_anti").select(docs.columns)
+    later = near_dedup(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_later")).distinct()
+    return docs.join(later, F.col("doc_id") == F.col("_later"), "left_anti")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from notegraph.llm import ngrams
+from notegraph.llm.common import named
 
 BITS = 20
 #: The model is fitted on about this many labelled documents, chosen by a hash of their identifier.
@@ -117,7 +118,9 @@ def score(
     weights, bias = model
     at = np.flatnonzero(weights)
     sent = docs.sparkSession.sparkContext.broadcast((at, weights[at].astype(np.float32), float(bias)))
-    rows = docs.select(*columns, F.col(text_col).cast("binary").alias("_scored_text"))
+    # Arrow functions don't take names with dots, so the columns go by their places.
+    places = [named(c).alias(f"c{i}") for i, c in enumerate(columns)]
+    rows = docs.select(*places, F.col(text_col).cast("binary").alias("text"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, values, bias = sent.value
@@ -140,7 +143,9 @@ def score(
                 yield pa.RecordBatch.from_arrays(kept, names).filter(pa.array(found < below))
 
     schema = T.StructType(rows.schema.fields[:-1])
-    return rows.mapInArrow(each, schema if below is not None else schema.add("score", T.DoubleType()))
+    if below is not None:
+        return rows.mapInArrow(each, schema).toDF(*columns)
+    return rows.mapInArrow(each, schema.add("score", T.DoubleType())).toDF(*columns, "score")
 
 
 def fold_of(id_col: str, folds: int):
