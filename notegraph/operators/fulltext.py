@@ -53,9 +53,10 @@ def parse(query: str, stemmed: bool = True) -> TextQuery:
 
 
 def tokens(rows: DataFrame, stemmed: bool = True, body: str = "body") -> DataFrame:
-    """(id, terms): what an index holds of each row."""
+    """(id, terms): what an index holds of each row. The generator keeps the optimiser from copying the
+    tokeniser into every condition on the terms."""
     found = columns.stemmed_terms(F.coalesce(F.col(body), F.lit(""))) if stemmed else columns.plain_terms(F.col(body))
-    return rows.select("id", found.alias("terms"))
+    return rows.select("id", F.explode(F.array(found)).alias("terms"))
 
 
 def postings(indexed: DataFrame) -> DataFrame:
@@ -64,13 +65,11 @@ def postings(indexed: DataFrame) -> DataFrame:
 
 
 def _holds(phrase: tuple[str, ...]) -> Column:
+    """Terms have no spaces, so consecutive ones are a substring of all terms joined by spaces."""
     if len(phrase) == 1:
         return F.array_contains("terms", phrase[0])
-    wanted = F.array(*[F.lit(t) for t in phrase])
-    starts = F.sequence(F.lit(1), F.greatest(F.size("terms") - len(phrase) + 1, F.lit(1)))
-    return (F.size("terms") >= len(phrase)) & F.arrays_overlap("terms", wanted) & F.exists(
-        starts, lambda i: F.slice("terms", i, len(phrase)) == wanted
-    )
+    joined = F.concat(F.lit(" "), F.array_join("terms", " "), F.lit(" "))
+    return F.contains(joined, F.lit(" " + " ".join(phrase) + " "))
 
 
 def matches(indexed: DataFrame, query: TextQuery) -> DataFrame:

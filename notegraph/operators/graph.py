@@ -43,19 +43,24 @@ class GraphResult:
     truncated: bool
 
 
-def adjacency(links: DataFrame, fields: Sequence[str] | None = None) -> DataFrame:
-    """Distinct resolved edges (source_id, target_id, field)."""
+def resolved(links: DataFrame, fields: Sequence[str] | None = None) -> DataFrame:
+    """Resolved edges (source_id, target_id, field), repeats included: callers narrow them to the few
+    documents at hand before they are made distinct."""
     found = links.where("target_id IS NOT NULL")
     if fields is not None:
         found = found.where(F.col("field").isin(list(fields)))
-    return found.select("source_id", "target_id", "field").distinct()
+    return found.select("source_id", "target_id", "field")
+
 
+def adjacency(links: DataFrame, fields: Sequence[str] | None = None) -> DataFrame:
+    return resolved(links, fields).distinct()
 
-def steps(adj: DataFrame, direction: str) -> DataFrame:
+
+def steps(edges: DataFrame, direction: str) -> DataFrame:
     """(a, b): from where to where one step goes."""
-    out = adj.select(F.col("source_id").alias("a"), F.col("target_id").alias("b"))
-    back = adj.select(F.col("target_id").alias("a"), F.col("source_id").alias("b"))
-    return {"out": out, "in": back, "both": out.unionByName(back)}[direction].distinct()
+    out = edges.select(F.col("source_id").alias("a"), F.col("target_id").alias("b"))
+    back = edges.select(F.col("target_id").alias("a"), F.col("source_id").alias("b"))
+    return {"out": out, "in": back, "both": out.unionByName(back)}[direction]
 
 
 def expand(live: DataFrame, links: DataFrame, spec: GraphSpec) -> tuple[DataFrame, DataFrame, int, bool]:
@@ -75,7 +80,7 @@ def expand(live: DataFrame, links: DataFrame, spec: GraphSpec) -> tuple[DataFram
     tree = cel.parse(spec.filter) if spec.filter else None
     spark = live.sparkSession
     visible = live.where(spec.visibility.visible())
-    step = steps(adjacency(links, spec.fields), spec.direction)
+    step = steps(resolved(links, spec.fields), spec.direction)
 
     def passing(rows: DataFrame, r: int) -> DataFrame:
         if tree is None:
@@ -121,34 +126,42 @@ def expand(live: DataFrame, links: DataFrame, spec: GraphSpec) -> tuple[DataFram
     )
 
 
-def degree_counts(live: DataFrame, links: DataFrame, visibility: Visibility) -> DataFrame:
-    """(document_id, links, backlinks): distinct visible documents at the other end, scope alone."""
+def degree_counts(live: DataFrame, links: DataFrame, visibility: Visibility, only: DataFrame | None = None) -> DataFrame:
+    """(document_id, links, backlinks): distinct visible documents at the other end, scope alone. With
+    ``only``, of these few documents."""
     seen = live.where(visibility.visible()).select("document_id")
-    adj = adjacency(links).select("source_id", "target_id").distinct()
-    both = adj.join(seen.withColumnRenamed("document_id", "source_id"), "source_id", "left_semi").join(
-        seen.withColumnRenamed("document_id", "target_id"), "target_id", "left_semi"
-    )
-    out = both.groupBy(F.col("source_id").alias("document_id")).agg(F.count(F.lit(1)).alias("links"))
-    back = both.groupBy(F.col("target_id").alias("document_id")).agg(F.count(F.lit(1)).alias("backlinks"))
+    edges = resolved(links).select("source_id", "target_id")
+
+    def side(own: str, other: str, name: str) -> DataFrame:
+        mine = edges
+        if only is not None:
+            mine = mine.join(F.broadcast(only.select(F.col("document_id").alias(own))), own, "left_semi")
+        mine = mine.distinct()
+        for end in (own, other):
+            mine = mine.join(seen.withColumnRenamed("document_id", end), end, "left_semi")
+        return mine.groupBy(F.col(own).alias("document_id")).agg(F.count(F.lit(1)).alias(name))
+
+    out = side("source_id", "target_id", "links")
+    back = side("target_id", "source_id", "backlinks")
     return out.join(back, "document_id", "full_outer").na.fill(0, ["links", "backlinks"])
 
 
 def induced(admitted: DataFrame, links: DataFrame, fields: Sequence[str] | None = None) -> DataFrame:
     """Distinct edges with both ends admitted, whatever the direction of the walk."""
-    ends = F.broadcast(admitted.select("document_id", "path"))
+    ends = admitted.select("document_id", "path")
     source = ends.select(F.col("document_id").alias("source_id"), F.col("path").alias("source"))
     target = ends.select(F.col("document_id").alias("target_id"), F.col("path").alias("target"))
-    found = adjacency(links, fields).join(source, "source_id").join(target, "target_id")
+    found = resolved(links, fields).join(F.broadcast(source), "source_id").join(F.broadcast(target), "target_id")
     return found.select("source", "target", "field").distinct()
 
 
 def frontier(admitted: DataFrame, open_ids: DataFrame, live: DataFrame, links: DataFrame, spec: GraphSpec) -> DataFrame:
     """Admitted documents with a neighbour in the walk's direction that is readable and not admitted."""
     seen = live.where(spec.visibility.visible()).select(F.col("document_id").alias("b"))
-    out = steps(adjacency(links, spec.fields), spec.direction)
+    out = steps(resolved(links, spec.fields), spec.direction)
     out = out.join(F.broadcast(open_ids.withColumnRenamed("document_id", "a")), "a", "left_semi")
     out = out.join(F.broadcast(admitted.select(F.col("document_id").alias("b"))), "b", "left_anti")
-    beyond = out.join(seen, "b", "left_semi").select(F.col("a").alias("document_id")).distinct()
+    beyond = out.distinct().join(seen, "b", "left_semi").select(F.col("a").alias("document_id")).distinct()
     return admitted.select("document_id", "path").join(beyond, "document_id", "left_semi")
 
 
@@ -164,7 +177,7 @@ def graph(store: Store, spec: GraphSpec, live: DataFrame | None = None) -> Graph
     rows = live.join(F.broadcast(admitted.select("document_id", "degrees")), "document_id").select(
         "document_id", "path", "degrees", *keys
     )
-    counted = degree_counts(live, links, spec.visibility)
+    counted = degree_counts(live, links, spec.visibility, admitted)
     documents = (
         rows.join(counted, "document_id", "left").na.fill(0, ["links", "backlinks"]).orderBy("degrees", "path")
     )

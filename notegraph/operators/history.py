@@ -16,24 +16,24 @@ WINDOW_MS, FEED_PAGE, INDEX_PAGE, LIST_PAGE, TAIL, SCAN = 30_000, 500, 1000, 100
 
 
 def chain(versions: DataFrame, head: int, limit: int = LIST_PAGE, before: int | None = None) -> DataFrame:
-    """(depth, version) from ``head`` back along ``prev_id``, newest first by place in the chain. One
-    document's versions are a small set that a single key selects; the walk is a recursive query."""
+    """The versions from ``head`` (or from before ``before``) back along ``prev_id``, newest first by
+    place in the chain, with that place as ``depth``; ``limit`` of them at most. A predecessor has a
+    smaller id, so the walk reads pages of the document's pointers by descending id."""
+    first = versions.where(F.col("id") == (head if before is None else before)).select("document_id", "id", "prev_id").limit(1).collect()
     spark = versions.sparkSession
-    own = versions.where(F.col("id") == head).select("document_id")
-    mine = versions.join(F.broadcast(own.limit(1)), "document_id", "left_semi")
-    mine.createOrReplaceTempView("_chain_versions")
-    walked = spark.sql(
-        f"""WITH RECURSIVE walk MAX RECURSION LEVEL 100000 AS (
-              SELECT id, prev_id, 0 AS depth FROM _chain_versions WHERE id = {int(head)}
-              UNION ALL
-              SELECT v.id, v.prev_id, w.depth + 1 FROM walk w JOIN _chain_versions v ON v.id = w.prev_id
-            ) SELECT id, depth FROM walk"""
-    )
-    found = mine.join(walked, "id")
-    if before is not None:
-        cut = walked.where(F.col("id") == before).select(F.col("depth").alias("cut"))
-        found = found.join(F.broadcast(cut)).where("depth > cut").drop("cut")
-    return found.orderBy("depth").limit(limit)
+    at = None if not first else first[0].id if before is None else first[0].prev_id
+    found: list[int] = []
+    size = 4 * limit + 1
+    while at is not None and len(found) < limit:
+        own = versions.where((F.col("document_id") == first[0].document_id) & (F.col("id") <= at))
+        page = {r.id: r.prev_id for r in own.select("id", "prev_id").orderBy(F.desc("id")).limit(size).collect()}
+        if at not in page:
+            break
+        while at in page and len(found) < limit:
+            found.append(at)
+            at = page[at]
+    places = spark.createDataFrame([(v, i) for i, v in enumerate(found)], "id long, depth int")
+    return versions.where(F.col("id").isin(found) if found else F.lit(False)).join(F.broadcast(places), "id").orderBy("depth")
 
 
 def depths(versions: DataFrame) -> DataFrame:

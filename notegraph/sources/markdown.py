@@ -19,7 +19,7 @@ def files(spark: SparkSession, root: str, include: tuple[str, ...] = ("**",), ex
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(root)
     base = spark._jvm.org.apache.hadoop.fs.Path(root)
     full = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/")
-    path = F.url_decode(F.replace(F.substring("path", len(full) + 2, 1 << 30), F.lit("+"), F.lit("%2B")))
+    path = F.substring("path", len(full) + 2, 1 << 30)
     rows = raw.select(path.alias("path"), F.col("content").cast("string").alias("content"))
     rows = rows.where(~(F.col("path").startswith(".") | F.col("path").contains("/.")) & matches_any(F.col("path"), include))
     return rows.where(~matches_any(F.col("path"), exclude)) if exclude else rows
