@@ -316,6 +316,20 @@ def replaced(links: DataFrame, fresh: DataFrame, sources: DataFrame) -> DataFram
     return links.join(sources.select(F.col("document_id").alias("source_id")).distinct(), "source_id", "left_anti").unionByName(fresh)
 
 
+def cleared(links: DataFrame, sources: DataFrame) -> DataFrame:
+    """``links`` without those of the documents in ``sources``, as after their deletion; links to them stay."""
+    return links.join(sources.select(F.col("document_id").alias("source_id")).distinct(), "source_id", "left_anti")
+
+
+def totals(links: DataFrame) -> DataFrame:
+    """One row: documents with links, links, and how many of them dangle."""
+    return links.agg(
+        F.count_distinct("source_id").alias("documents"),
+        F.count(F.lit(1)).alias("edges"),
+        F.count_if(F.col("target_id").isNull()).alias("dangling"),
+    )
+
+
 def bind_danglers(links: DataFrame, live: DataFrame) -> DataFrame:
     """Unresolved links whose target path has become live are bound, but never to their own document."""
     at = live.select("repo_id", F.col("path_norm").alias("target_norm"), F.col("document_id").alias("_now"))

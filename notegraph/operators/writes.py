@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 from notegraph.errors import EngineError
 from notegraph.functions import text
 from notegraph.operators.store import VERSION_SCHEMA, by_path, by_paths, live
+from notegraph.plans.visibility import has_sigil
 
 GET_MANY, RETRIES = 50, 5
 
@@ -238,6 +239,17 @@ class Repos:
         return spark.createDataFrame([tuple(r[n.split()[0]] for n in schema.split(", ")) for r in self.rows], schema)
 
 
+def path_warnings(live_rows: DataFrame, hidden: str = ".", system: str = ":", forbidden: str = "") -> DataFrame:
+    """(path, reason) of live documents that a new path configuration would hide or refuse."""
+    bad = F.lit(False)
+    for c in forbidden:
+        bad = bad | F.col("path").contains(c)
+    reason = (
+        F.when(has_sigil(F.col("path"), system), "system").when(has_sigil(F.col("path"), hidden), "hidden").when(bad, "character")
+    )
+    return live_rows.select("path", reason.alias("reason")).where("reason IS NOT NULL")
+
+
 def commit(tables: dict[str, DataFrame], root: str) -> str:
     """The tables as one snapshot: written to a folder of their own, then named by one atomic rename.
     A single writer is assumed; ``root`` is a mounted folder."""

@@ -83,6 +83,24 @@ def materialize(rows: DataFrame, root: str) -> int:
     return int(done.n or 0) if done else 0
 
 
+def apply_refs(effects: DataFrame, versions: DataFrame, root: str) -> int:
+    """The net effects of a feed page (``sync.net_effect``) on a folder: files of documents that moved
+    away or were deleted go, the others are written. Applying a page twice changes nothing more."""
+    gone = effects.where((F.col("prev_path").isNotNull() & (F.col("prev_path") != F.col("path"))) | (F.col("op") == "delete"))
+
+    def remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path in batch["prev_path"].dropna():
+                at = os.path.join(root, path)
+                if os.path.exists(at):
+                    os.remove(at)
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    removed = gone.select("prev_path").mapInPandas(remove, "n long").agg(F.sum("n").alias("n")).first()
+    kept = versions.join(effects.where("op <> 'delete'").select("id"), "id", "left_semi")
+    return int(removed.n or 0) + materialize(kept, root)
+
+
 def ndjson(refs: DataFrame, folder: str) -> None:
     """One reference a line."""
     refs.select("id", "prev_id", "repo_id", "path", "prev_path", "content_hash", "op", "created_at").write.mode("append").json(folder)

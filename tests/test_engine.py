@@ -332,3 +332,15 @@ def test_backlog(spark):
     assert [r.version_id for r in writes.dequeue(both, "2026-01-02", 9).collect()] == [1, 2]
     assert tuple(writes.backlog_status(both, "2026-01-02").first()) == (3, 2, 1, "2026-01-03")
     assert [r.version_id for r in writes.last_errors(both).collect()] == [3]
+
+
+def test_cleared_links_and_totals(spark, base):
+    gone = spark.createDataFrame([(base.links.first().source_id,)], "document_id long")
+    left = links.cleared(base.links, gone)
+    assert left.count() < base.links.count() and left.join(gone, left.source_id == gone.document_id).count() == 0
+    assert tuple(links.totals(base.links).first()) == (4, 6, 1)
+
+
+def test_path_warnings(base):
+    got = {r.path: r.reason for r in writes.path_warnings(live(base.versions), hidden="l", forbidden="x").collect()}
+    assert got == {"leaf.md": "hidden", "lone.md": "hidden", "moc/index.md": "character"}

@@ -5,7 +5,7 @@ import os
 from pyspark.sql import functions as F
 
 from notegraph.functions import text
-from notegraph.operators import writes
+from notegraph.operators import history, sync, writes
 from notegraph.operators.store import VERSION_SCHEMA, live
 from notegraph.sources import markdown, render
 from notegraph.streaming import feed
@@ -86,5 +86,20 @@ def test_deferred_paths_come_out_once(spark, tmp_path):
         q.stop()
 
 
+def test_feed_pages_apply_to_a_folder(spark, tmp_path):
+    v = nothing(spark)
+    v, (a, b) = writes.apply(v, 1, [writes.Op("create", "a.md", "1"), writes.Op("create", "b.md", "2")])
+    v = spark.createDataFrame(v.collect(), VERSION_SCHEMA)
+    root = str(tmp_path)
+    page = lambda after: sync.net_effect(history.refs(v).where(F.col("id") > after))
+    markdown.apply_refs(page(0), v, root)
+    assert sorted(os.listdir(root)) == ["a.md", "b.md"]
+    v, _ = writes.apply(v, 1, [writes.Op("put", "a.md", "moved", prev=a, new_path="c.md"), writes.Op("delete", "b.md")])
+    v = spark.createDataFrame(v.collect(), VERSION_SCHEMA)
+    for _ in range(2):
+        markdown.apply_refs(page(b), v, root)
+        assert sorted(os.listdir(root)) == ["c.md"]
+
+
 def test_vault_is_live(spark):
     assert live(vault(spark).versions).count() == len(FILES)
