@@ -48,6 +48,7 @@ BOILER_NAMES = frozenset(
     "popup modal overlay newsletter subscribe signup login social share sharing related recommended widget pagination pager "
     "toolbar copyright legal disclaimer skip search hidden toc announcement".split()
 )
+BOILER_STARTS = ("cookie", "advert", "adslot", "adbox", "adunit", "sidebar", "navbar", "breadcrumb", "newsletter", "sponsor", "promo", "paywall", "footer")
 COMMENT_NAMES = frozenset("comment comments reply replies respond disqus discussion commentlist".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
 
@@ -145,7 +146,7 @@ def _flags(tag: str, attributes: str, above: int) -> int:
                     words -= {"header", "search", "related"} if tag == "header" else {"header"}
                 if words & COMMENT_NAMES:
                     own |= IN_COMMENT
-                if words & BOILER_NAMES:
+                if words & BOILER_NAMES or any(w.startswith(BOILER_STARTS) for w in words):
                     own |= IN_NAMED
             elif name == "role" and value.lower() in BOILER_ROLES:
                 own |= IN_BOILER
