@@ -13,14 +13,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notegraph.llm.common import SPACE, held
+from notegraph.llm.common import SPACE, durable, held
 
 WORDS = 5
 SIMILARITY = 0.8
 #: At similarity 0.8 fingerprints differ in 9.7 bits of 64 in the mean, with deviation 2.9.
 RADIUS = 24
-#: Benchmark shingles are sent to the executors up to this number of rows, and joined by shuffle beyond.
-SENT = 2_000_000
+#: Bytes of benchmark shingles that go to the executors at once; a larger benchmark is taken in blocks.
+SENT = 64 << 20
 
 
 def with_shingles(rows: DataFrame, text: Column, into: str = "shingles", words: int = WORDS) -> DataFrame:
@@ -82,11 +82,27 @@ def leaks(
     Null and empty texts and items match nothing. Rows with the same identifiers are taken together,
     null identifiers too. Other columns are ignored; an empty table on either side gives no rows.
     """
-    items = with_shingles(
-        benchmark.select(F.col("item_id"), F.col("text").alias("_text")), F.col("_text"), "own"
-    ).drop("_text").where(F.size("own") > 0).distinct()
-    items = with_simhash(items, "own", "item_fp")
-    items = items.select(
+    own = with_shingles(benchmark.select(F.col("item_id"), F.col("text").alias("_text")), F.col("_text"), "own")
+    own = own.drop("_text").where(F.size("own") > 0).distinct()
+    own = durable(own.withColumn("item", F.xxhash64("item_id", "own")))
+    # A row of 40 bytes for each shingle, and the arrays of each item once.
+    size = own.agg(F.coalesce(F.sum(F.size("own") * 64 + 1000), F.lit(0))).first()[0]
+    blocks_ = max(1, -(-size // SENT))
+    parts = [
+        _leaks(docs, own.where(F.pmod("item", F.lit(blocks_)) == k), similarity, radius, id_col, text_col) for k in range(blocks_)
+    ]
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), "words")).alias("b"))
+    return best.select("doc_id", "item_id", "b.similarity", (-F.col("b.s")).alias("start"), "b.words")
+
+
+def _leaks(docs: DataFrame, own: DataFrame, similarity: float, radius: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, item_id, similarity, start, words) of every window alike to an item of ``own``: (item_id,
+    item, own), which fits in SENT bytes."""
+    items = with_simhash(own, "own", "item_fp").select(
+        "item",
         "item_id",
         F.size("own").alias("n"),
         F.array_distinct("own").alias("once"),
@@ -94,13 +110,12 @@ def leaks(
         "item_fp",
         blocks(F.col("item_fp"), radius).alias("item_blocks"),
     )
-    keys = items.withColumn("h", F.explode("once"))
-    if items.agg(F.coalesce(F.sum(F.size("once")), F.lit(0))).first()[0] <= SENT:
-        keys = F.broadcast(keys)
+    keys = own.select("item", F.explode(F.array_distinct("own")).alias("h"))
     hits = held(
         with_shingles(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")), F.col("_text"))
         .select("doc_id", "shingles", F.posexplode("shingles").alias("start", "h"))
-        .join(keys, "h"),
+        .join(F.broadcast(keys), "h")
+        .join(F.broadcast(items), "item"),
         "window",
         F.slice("shingles", F.col("start") + 1, F.col("n")),
     ).drop("shingles", "h")
@@ -124,12 +139,7 @@ def leaks(
         "start",
         F.size("window").alias("words"),
     )
-    best = (
-        found.where(F.col("similarity") >= similarity)
-        .groupBy("doc_id", "item_id")
-        .agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), "words")).alias("b"))
-    )
-    return best.select("doc_id", "item_id", "b.similarity", (-F.col("b.s")).alias("start"), "b.words")
+    return found.where(F.col("similarity") >= similarity)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

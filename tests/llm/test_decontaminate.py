@@ -82,3 +82,10 @@ def test_blocks_find_all_within_radius(spark, radius):
         pairs.append((a, b))
     df = spark.createDataFrame(pairs, "a long, b long")
     assert df.where(~F.arrays_overlap(decontaminate.blocks(F.col("a"), radius), decontaminate.blocks(F.col("b"), radius))).count() == 0
+
+
+def test_a_large_benchmark_is_taken_in_blocks(spark, monkeypatch):
+    docs, items = data()
+    monkeypatch.setattr(decontaminate, "SENT", 20_000)
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(x.doc_id, x.item_id): (x.similarity, x.start, x.words) for x in got} == brute(docs, items)
