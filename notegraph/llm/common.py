@@ -23,11 +23,22 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/notegraph-{spark.sparkContext.applicationId}"
+
+
+def sweep(spark: SparkSession) -> None:
+    """Remove the tables that this application's operators have written. Results that were not stored
+    elsewhere can't be read after it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """``df`` written as a table in the shared folder and read again: later plans start from it,
     so a lost executor costs the reading of a file, not the work before it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/notegraph/{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

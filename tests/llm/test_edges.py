@@ -75,3 +75,13 @@ def test_rows_without_identifier_stay(spark):
     docs = messy(spark)
     for stage in (exact_dedup.unique, simhash_dedup.unique):
         assert stage(docs).where("doc_id IS NULL AND text IS NOT NULL").count() == 1
+
+
+def test_sweep(spark):
+    from notegraph.llm import common
+
+    made = common.durable(spark.range(3))
+    assert made.count() == 3
+    common.sweep(spark)
+    with pytest.raises(Exception, match="(?i)not.*exist|no such|FAILED_READ"):
+        spark.read.parquet(made.inputFiles()[0])
