@@ -182,3 +182,64 @@ def conversations(messages: DataFrame) -> DataFrame:
         (F.size("path") - 1).alias("depth"),
         "n_quotes",
     )
+
+
+#: The same over a table whose (conv_id, turn) are unique and not null.
+SQL = r"""
+WITH RECURSIVE m AS (
+  SELECT row_number() OVER () AS r, conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+), l AS (
+  SELECT r, conv_id, turn, unnest(string_split(text, chr(10))) AS line,
+         unnest(generate_series(1, len(string_split(text, chr(10))))) AS pos FROM m
+), p AS (
+  SELECT *, length(regexp_replace(regexp_extract(line, '^[ \t]*((?:>[ \t]?)+)', 1), '[^>]', '', 'g')) AS level FROM l
+), q AS (
+  SELECT *, CASE WHEN level > 0 THEN regexp_replace(line, '^[ \t]*((?:>[ \t]?)+)', '') ELSE line END AS body,
+         lead(level, 1, 0) OVER (PARTITION BY r ORDER BY pos) AS after, lag(level, 1, -1) OVER (PARTITION BY r ORDER BY pos) AS prior FROM p
+), k AS (
+  SELECT *, sum(CASE WHEN level <> prior THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY pos) AS run FROM q
+), kept AS (
+  SELECT * FROM k WHERE NOT (level = 0 AND after > 0 AND regexp_matches(line, '^(On|Am|Le|El)\b.*(wrote|schrieb|écrit|escribió).*:[ \t]*$'))
+), o AS (
+  SELECT m.r, m.conv_id, m.turn, m.role, trim(coalesce(string_agg(body, chr(10) ORDER BY pos), '')) AS own
+  FROM m LEFT JOIN kept ON kept.r = m.r AND level = 0 GROUP BY ALL
+), g AS (
+  SELECT r, conv_id, turn, run, level, string_agg(body, chr(10) ORDER BY pos) AS passage FROM kept WHERE level > 0 GROUP BY ALL
+), ou AS (
+  SELECT conv_id, turn, unnest(list_concat([own], string_split(own, chr(10)), regexp_split_to_array(own, '\n[ \t]*\n'))) AS u FROM o
+), original AS (
+  SELECT conv_id, turn, lower(trim(regexp_replace(u, '[ \t-\r]+', ' ', 'g'))) AS unit FROM ou
+), gu AS (
+  SELECT r, conv_id, turn, run, level, 0 AS rank, passage AS u FROM g
+  UNION ALL SELECT r, conv_id, turn, run, level, 1, unnest(regexp_split_to_array(passage, '\n[ \t]*\n')) FROM g
+  UNION ALL SELECT r, conv_id, turn, run, level, 2, unnest(string_split(passage, chr(10))) FROM g
+), quoted AS (
+  SELECT *, lower(trim(regexp_replace(u, '[ \t-\r]+', ' ', 'g'))) AS unit FROM gu
+), here AS (SELECT unit, conv_id, min(turn) AS t FROM original GROUP BY ALL
+), anywhere AS (
+  SELECT unit, conv_id AS c, turn AS t FROM original QUALIFY row_number() OVER (PARTITION BY unit ORDER BY conv_id, turn) = 1
+), found AS (
+  SELECT q.r, q.level, q.rank, q.run,
+         CASE WHEN h.t < q.turn THEN q.conv_id WHEN (a.c, a.t) < (q.conv_id, q.turn) THEN a.c END AS pc,
+         CASE WHEN h.t < q.turn THEN h.t WHEN (a.c, a.t) < (q.conv_id, q.turn) THEN a.t END AS pt
+  FROM quoted q JOIN anywhere a ON a.unit = q.unit LEFT JOIN here h ON h.unit = q.unit AND h.conv_id = q.conv_id
+  WHERE q.unit <> ''
+), rep AS (
+  SELECT r, pc, pt FROM found WHERE pc IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY r ORDER BY level, rank, run, pc, pt) = 1
+), w AS (
+  SELECT r, pc, pt, [{'c': pc, 't': pt}] AS path FROM rep
+  UNION ALL
+  SELECT w.r, n.pc, n.pt, list_concat([{'c': n.pc, 't': n.pt}], w.path)
+  FROM w JOIN m ON m.conv_id = w.pc AND m.turn = w.pt JOIN rep n ON n.r = m.r
+), best AS (
+  SELECT r, path FROM w QUALIFY row_number() OVER (PARTITION BY r ORDER BY len(path) DESC) = 1
+), laid AS (
+  SELECT o.*, coalesce(best.path[1].c, o.conv_id) AS thread, coalesce(len(best.path), 0) AS depth,
+         list_concat(coalesce(best.path, []), [{'c': o.conv_id, 't': o.turn}]) AS path
+  FROM o LEFT JOIN best ON best.r = o.r
+), n AS (SELECT r, count(*) AS n FROM g GROUP BY r)
+SELECT thread, row_number() OVER (PARTITION BY thread ORDER BY path) - 1 AS position, conv_id, turn, role, own AS text,
+       pc AS reply_conv, pt AS reply_turn, CAST(depth AS INTEGER) AS depth, CAST(coalesce(n.n, 0) AS INTEGER) AS n_quotes
+FROM laid LEFT JOIN rep ON rep.r = laid.r LEFT JOIN n ON n.r = laid.r
+"""

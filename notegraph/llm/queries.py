@@ -65,4 +65,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_benchmark_decontamination": decontaminate.SQL, "op7_exact_dedup": exact_dedup.SQL}
+    return {
+        "op2_benchmark_decontamination": decontaminate.SQL,
+        "op7_exact_dedup": exact_dedup.SQL,
+        "op9_chat_formatting": chat.SQL,
+    }

@@ -59,3 +59,19 @@ def test_long_chains(spark):
     rows = [(1, 0, "a", "start of it all")] + [(1, t, "a", f"> {'start of it all' if t == 1 else f'answer number {t - 1}'}\nanswer number {t}") for t in range(1, 40)]
     got = sorted(run(spark, rows), key=lambda x: x.position)
     assert [x.turn for x in got] == list(range(40)) and [x.depth for x in got] == list(range(40))
+
+
+def test_against_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    rows = [x for x in dict(((r[0], r[1]), r) for r in ROWS).values() if x[0] is not None and x[1] is not None]
+    rows += [(9, t, "z", f"> answer {t - 1} of nine\n>> deeper\nLe lundi x a écrit :\n> answer {t // 2} of nine\nanswer {t} of nine\n\nmore") for t in range(12)]
+    conversations = pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"])
+    con = duckdb.connect()
+    con.register("conversations", conversations)
+    got = con.execute(chat.SQL)
+    names = [d[0] for d in got.description]
+    want = sorted(tuple(dict(zip(names, r, strict=True))[c] for c in sorted(names)) for r in got.fetchall())
+    mine = sorted((tuple(x[c] for c in sorted(names)) for x in run(spark, rows)), key=repr)
+    assert mine == sorted(want, key=repr) and any(r[sorted(names).index("depth")] > 3 for r in mine)
