@@ -643,7 +643,7 @@ def ln_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.resolved(links.extracted(_pages(spark, sf_dir)), live).select("source_id", "ord", "target_norm", "target_id")
 
 
-@register("ln_bind_danglers", f"WITH {G} SELECT source_id, ord, {5 * KIND} + CAST(regexp_extract(target_norm, '[0-9]+') AS BIGINT) AS target_id FROM lk WHERE target_id IS NULL")
+@register("ln_bind_danglers", f"WITH {G} SELECT source_id, CAST(ord AS INTEGER) AS ord, {5 * KIND} + CAST(regexp_extract(target_norm, '[0-9]+') AS BIGINT) AS target_id FROM lk WHERE target_id IS NULL")
 def ln_bind_danglers(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = model.links(spark, sf_dir).where("target_id IS NULL")
     part = model.table(spark, sf_dir, "part").where("p_size = 1")
@@ -654,7 +654,7 @@ def ln_bind_danglers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "ln_stale",
-    f"WITH {G} SELECT source_id, ord, 'moved/' || target_norm AS current_path FROM lk JOIN n ON n.id = target_id WHERE n.kind = 'part' AND n.num = 2",
+    f"WITH {G} SELECT source_id, CAST(ord AS INTEGER) AS ord, 'moved/' || target_norm AS current_path FROM lk JOIN n ON n.id = target_id WHERE n.kind = 'part' AND n.num = 2",
 )
 def ln_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = model.nodes(spark, sf_dir)
@@ -838,7 +838,7 @@ def vf_fts(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT 'chunks.mixed_dim', version_id FROM c WHERE vec_id % 40 = 0
     UNION ALL SELECT 'chunks.backlog_orphan', -5
     UNION ALL SELECT 'chunks.unembedded', id FROM k WHERE id NOT IN (SELECT version_id FROM c) AND id % 100 <> 1)
-    SELECT c AS "check", count(*) AS n, sum(version_id) AS ids FROM f GROUP BY 1""",
+    SELECT c AS "check", count(*) AS n, CAST(sum(version_id) AS BIGINT) AS ids FROM f GROUP BY 1""",
 )
 def vf_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = model.documents(spark, sf_dir).where("id % 9 <> 0")

@@ -8,13 +8,16 @@ import uuid
 from pyspark.sql import DataFrame
 
 
+_local: dict[str, str] = {}
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a table in the folder of spark.checkpoint.dir; a local folder where that is unset."""
     spark = df.sparkSession
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = tempfile.mkdtemp(prefix="notegraph-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        app = spark.sparkContext.applicationId
+        at = _local[app] if app in _local else _local.setdefault(app, tempfile.mkdtemp(prefix="notegraph-"))
     path = f"{at.rstrip('/')}/notegraph/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
