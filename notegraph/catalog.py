@@ -316,12 +316,12 @@ def gr_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "gr_budget",
-    f"""WITH {G}, r AS (SELECT DISTINCT n.path FROM lk JOIN n ON n.id = lk.source_id WHERE lk.target_id = {2 * KIND + 1} ORDER BY n.path LIMIT 9)
+    f"""WITH {G}, r AS (SELECT DISTINCT n.path FROM lk JOIN n ON n.id = lk.source_id WHERE lk.target_id = {2 * KIND + 1} ORDER BY n.path LIMIT 4)
     SELECT path, 1 AS degrees, true AS truncated, 0 AS complete FROM r UNION ALL SELECT 'nation/1.md', 0, true, 0""",
 )
 def gr_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = model.graph_store(spark, sf_dir)
-    got = graph.graph(own, graph.GraphSpec(("nation/1.md",), 2, "in", max_documents=10), own.versions)
+    got = graph.graph(own, graph.GraphSpec(("nation/1.md",), 2, "in", max_documents=5), own.versions)
     return got.documents.select("path", "degrees", F.lit(got.truncated).alias("truncated"), F.lit(got.complete_degrees).alias("complete"))
 
 
