@@ -30,12 +30,14 @@ def connected(edges: DataFrame) -> DataFrame:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
             edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
         )
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # Minima are written before they are joined: both sides are then plain exchanges, and the rows
+        # of a node with very many neighbours can be split.
+        least = durable(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = (
             both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         )
         large = durable(large)
-        root = large.groupBy("a").agg(F.min("b").alias("m"))
+        root = durable(large.groupBy("a").agg(F.min("b").alias("m")))
         small = (
             large.join(root, "a")
             .where("b != m")

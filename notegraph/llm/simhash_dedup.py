@@ -99,7 +99,8 @@ def links(points: DataFrame, radius: int = RADIUS, groups: int = GROUPS, cell: i
         raise ValueError("large cells need radius 2")
     keys = [F.xxhash64(F.lit(i), unary(F.col("fp")).bitwiseAND(F.lit(m))) for i, m in enumerate(axis_masks(groups, radius))]
     cells = points.select("fp", F.explode(F.array(*keys)).alias("cell"))
-    sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    # Written, so that the join has two plain exchanges and the rows of a large cell can be split.
+    sizes = durable(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
     shared = durable(cells.join(sizes, "cell"))
     small = shared.where(F.col("size") <= cell).select("cell", "fp")
     other = small.select(F.col("cell"), F.col("fp").alias("b"))
