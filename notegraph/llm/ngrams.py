@@ -53,8 +53,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _words(data: np.ndarray, breaks: np.ndarray, stem: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the words, of their first ``stem`` bytes, and where they start. No word crosses ``breaks``."""
+def _words(data: np.ndarray, breaks: np.ndarray, stems: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words, a row of hashes of their first bytes for each length in ``stems``, and where
+    they start. No word crosses ``breaks``."""
     low = fold(data)
     inside = _IN_WORD[low]
     first = inside.copy()
@@ -70,17 +71,16 @@ def _words(data: np.ndarray, breaks: np.ndarray, stem: int) -> tuple[np.ndarray,
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
     at_start, back = sums[starts], down[starts]
-    return (
-        mix((sums[ends] - at_start) * back),
-        mix((sums[np.minimum(ends, starts + stem)] - at_start) * back + np.uint64(7)),
-        starts,
-    )
+    first_bytes = np.empty((len(stems), len(starts)), dtype=np.uint64)
+    for i, stem in enumerate(stems):
+        first_bytes[i] = mix((sums[np.minimum(ends, starts + stem)] - at_start) * back + np.uint64(stem))
+    return mix((sums[ends] - at_start) * back), first_bytes, starts
 
 
 def word_groups(
-    column: pa.Array, stem: int = 4
+    column: pa.Array, stems: tuple[int, ...] = ()
 ) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, rows, words, stems, row of each word) for consecutive rows of a binary column.
+    """(first row, rows, words, first bytes, row of each word) for consecutive rows of a binary column.
     Null counts as empty."""
     column = column.cast(pa.large_binary())
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
@@ -92,8 +92,8 @@ def word_groups(
         own = offsets[row : to + 1] - offsets[row]
         if own[-1] <= CHUNK:
             part = data[offsets[row] : offsets[to]]
-            words, stems, starts = _words(part, own, stem)
-            yield row, to - row, words, stems, np.searchsorted(own, starts, side="right") - 1
+            words, begun, starts = _words(part, own, stems)
+            yield row, to - row, words, begun, np.searchsorted(own, starts, side="right") - 1
         else:  # a single text
             found, begin, end = [], int(offsets[row]), int(offsets[to])
             while begin < end:
@@ -101,8 +101,9 @@ def word_groups(
                 if stop < end:
                     gaps = np.flatnonzero(~_IN_WORD[_FOLD[data[begin:stop]]])
                     stop = begin + int(gaps[-1]) + 1 if len(gaps) else stop
-                found.append(_words(data[begin:stop], np.zeros(1, dtype=np.int64), stem)[:2])
+                found.append(_words(data[begin:stop], np.zeros(1, dtype=np.int64), stems)[:2])
                 begin = stop
-            words, stems = (np.concatenate(x) for x in zip(*found, strict=True))
-            yield row, 1, words, stems, np.zeros(len(words), dtype=np.int64)
+            words = np.concatenate([w for w, _ in found])
+            begun = np.concatenate([b for _, b in found], axis=1)
+            yield row, 1, words, begun, np.zeros(len(words), dtype=np.int64)
         row = to

@@ -1,6 +1,6 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Features are the presence of words, of their first four bytes, of pairs of neighbouring words and of
+Features are the presence of words, of their first 4 to 7 bytes, of pairs of neighbouring words and of
 pairs with one word between, hashed to 2**BITS slots. Per-coordinate rates and the L1 term leave few
 weights, which every task gets as two small arrays.
 """
@@ -22,6 +22,8 @@ BITS = 20
 #: The model is fitted on about this many labelled documents, chosen by a hash of their identifier.
 TRAIN_DOCS = 6000
 THRESHOLD = 0.3
+#: Lengths in bytes of the beginnings of words that are features: one stem has many endings.
+STEMS = (4, 5, 6, 7)
 
 
 def features(words: np.ndarray, stems: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -31,8 +33,8 @@ def features(words: np.ndarray, stems: np.ndarray, row: np.ndarray) -> tuple[np.
     a, b = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
     pair = ngrams.mix(words[:-1][one] * a + words[1:][one])
     skip = ngrams.mix(words[:-2][two] * b + words[2:][two])
-    slots = np.concatenate([x >> shift for x in (words, stems, pair, skip)])
-    return slots.astype(np.int64), np.concatenate([row, row, row[:-1][one], row[:-2][two]])
+    slots = np.concatenate([x >> shift for x in (words, *stems, pair, skip)])
+    return slots.astype(np.int64), np.concatenate([row] * (1 + len(stems)) + [row[:-1][one], row[:-2][two]])
 
 
 def fit(
@@ -41,7 +43,7 @@ def fit(
     epochs: int = 4,
     alpha: float = 1.0,
     beta: float = 1.0,
-    l1: float = 5.0,
+    l1: float = 8.0,
     l2: float = 0.5,
     positive: float = 2.0,
 ) -> tuple[np.ndarray, float]:
@@ -84,7 +86,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int) ->
 def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found: list[bytes] = []
-        for _, rows, words, stems, row in ngrams.word_groups(batch.column(1)):
+        for _, rows, words, stems, row in ngrams.word_groups(batch.column(1), STEMS):
             slot, own = features(words, stems, row)
             keys = np.unique((own << BITS) | slot)
             cuts = np.searchsorted(keys, np.arange(rows + 1) << BITS)
@@ -128,7 +130,7 @@ def score(
         dense[at] = values
         for batch in batches:
             sums = np.full(batch.num_rows, bias)
-            for first, n, words, stems, row in ngrams.word_groups(batch.column(batch.num_columns - 1)):
+            for first, n, words, stems, row in ngrams.word_groups(batch.column(batch.num_columns - 1), STEMS):
                 slot, own = features(words, stems, row)
                 hit = dense[slot] != 0
                 keys = np.unique((own[hit] << BITS) | slot[hit])

@@ -8,11 +8,11 @@ import pytest
 from notegraph.llm import ngrams, quality, toxicity
 
 
-def words_of(column, stem=4):
+def words_of(column):
     out = {}
-    for first, n, words, stems, row in ngrams.word_groups(column, stem):
+    for first, n, words, stems, row in ngrams.word_groups(column, (4,)):
         for k in range(n):
-            out[first + k] = (words[row == k].tolist(), stems[row == k].tolist())
+            out[first + k] = (words[row == k].tolist(), stems[0][row == k].tolist())
     return out
 
 
