@@ -92,8 +92,9 @@ def links(messages: DataFrame, passages: DataFrame) -> DataFrame:
     quoted = _units(passages, "passage", "conv_id", "turn", "mark", "level", "run")
     wanted = quoted.select("unit").distinct()
     originals = originals.join(wanted, "unit", "left_semi")
-    here = originals.groupBy("unit", "conv_id").agg(F.min("turn").alias("here"))
-    anywhere = originals.groupBy("unit").agg(F.min(F.struct("conv_id", "turn")).alias("anywhere"))
+    # Written, so that the joins have two plain exchanges each and a text that very many quote can be split.
+    here = durable(originals.groupBy("unit", "conv_id").agg(F.min("turn").alias("here")))
+    anywhere = durable(here.groupBy("unit").agg(F.min(F.struct("conv_id", F.col("here").alias("turn"))).alias("anywhere")))
     found = (
         quoted.join(here, ["unit", "conv_id"], "left")
         .join(anywhere, "unit")
