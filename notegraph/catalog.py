@@ -264,8 +264,8 @@ def _spec(root: str, degrees: int, way: str, **more) -> graph.GraphSpec:
 
 WALKS = {
     "gr_bfs_out": ("order/1.md", 3, "out", None, "true"),
-    "gr_bfs_in": ("nation/1.md", 1, "in", None, "true"),
-    "gr_bfs_both": ("region/0.md", 2, "both", None, "true"),
+    "gr_bfs_in": ("customer/1.md", 1, "in", None, "true"),
+    "gr_bfs_both": ("customer/2.md", 2, "both", 'kind != "nation"', "x.kind <> 'nation'"),
     "gr_filter": ("order/3.md", 3, "out", 'kind != "supplier"', "x.kind <> 'supplier'"),
     "gr_filter_degrees": ("order/2.md", 3, "out", '$degrees < 2 || kind == "region" || kind == "nation"', "w.degrees + 1 < 2 OR x.kind IN ('region', 'nation')"),
 }
@@ -273,7 +273,7 @@ WALKS = {
 
 def _bfs(root: str, degrees: int, way: str, keep: str | None) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        own = model.graph_store(spark, sf_dir)
+        own = model.graph_store(spark, sf_dir, stored=True)
         return graph.graph(own, _spec(root, degrees, way, filter=keep), own.versions).documents.select(
             "path", "degrees", F.try_variant_get("title", "$", "string").alias("title")
         )
@@ -290,7 +290,7 @@ for _name, (_root, _deg, _way, _keep, _where) in WALKS.items():
     _walk("order/1.md", 2, "out") + " SELECT DISTINCT s.path AS source, t.path AS target, field FROM lk JOIN a s ON s.id = lk.source_id JOIN a t ON t.id = lk.target_id",
 )
 def gr_induced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = model.graph_store(spark, sf_dir)
+    own = model.graph_store(spark, sf_dir, stored=True)
     return graph.graph(own, _spec("order/1.md", 2, "out"), own.versions).links
 
 
@@ -299,7 +299,7 @@ def gr_induced(spark: SparkSession, sf_dir: str) -> DataFrame:
     _walk("order/1.md", 1, "out") + " SELECT DISTINCT a.path FROM a JOIN s ON s.a = a.id WHERE degrees = 1 AND s.b NOT IN (SELECT id FROM a)",
 )
 def gr_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = model.graph_store(spark, sf_dir)
+    own = model.graph_store(spark, sf_dir, stored=True)
     return graph.graph(own, _spec("order/1.md", 1, "out"), own.versions).frontier.select("path")
 
 
@@ -309,7 +309,7 @@ def gr_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT DISTINCT n.path, 1 FROM lk JOIN n ON n.id = lk.target_id WHERE lk.source_id = {6 * KIND + 1} AND lk.field IN ('customer', 'supplier'))""",
 )
 def gr_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = model.graph_store(spark, sf_dir)
+    own = model.graph_store(spark, sf_dir, stored=True)
     spec = _spec("order/1.md", 1, "out", fields=("customer", "supplier"))
     return graph.graph(own, spec, own.versions).documents.select("path", "degrees")
 
@@ -320,7 +320,7 @@ def gr_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT path, 1 AS degrees, true AS truncated, 0 AS complete FROM r UNION ALL SELECT 'nation/1.md', 0, true, 0""",
 )
 def gr_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = model.graph_store(spark, sf_dir)
+    own = model.graph_store(spark, sf_dir, stored=True)
     got = graph.graph(own, graph.GraphSpec(("nation/1.md",), 2, "in", max_documents=5), own.versions)
     return got.documents.select("path", "degrees", F.lit(got.truncated).alias("truncated"), F.lit(got.complete_degrees).alias("complete"))
 

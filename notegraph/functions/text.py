@@ -212,7 +212,9 @@ _TERM = re.compile(r"[^\W_]+")
 
 def terms(text: str) -> list[str]:
     """Lower-cased runs of letters and digits, without marks on letters."""
-    plain = "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c))
+    plain = text.lower()
+    if not plain.isascii():
+        plain = "".join(c for c in unicodedata.normalize("NFKD", plain) if not unicodedata.combining(c))
     return _TERM.findall(plain)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from notegraph.operators.cut import written
 from notegraph.operators.store import Store
 
 
@@ -192,6 +193,8 @@ C = """c AS (
 )"""
 
 
-def graph_store(spark: SparkSession, sf_dir: str) -> Store:
+def graph_store(spark: SparkSession, sf_dir: str, stored: bool = False) -> Store:
+    """Documents and links; ``stored``: as written tables, which walks of several rounds read."""
     own = nodes(spark, sf_dir).withColumn("prev_id", F.lit(None).cast("long"))
-    return Store(versions=own, links=links(spark, sf_dir))
+    edges = links(spark, sf_dir)
+    return Store(versions=written(own), links=written(edges)) if stored else Store(versions=own, links=edges)

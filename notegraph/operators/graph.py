@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notegraph.errors import EngineError, filter_invalid
-from notegraph.operators.cut import written
 from notegraph.operators.store import Store
 from notegraph.plans import cel
 from notegraph.plans.compile import Tables, compile_filter
@@ -137,7 +136,8 @@ def degree_counts(live: DataFrame, links: DataFrame, visibility: Visibility, onl
         if only is not None:
             mine = mine.join(F.broadcast(only.select(F.col("document_id").alias(own))), own, "left_semi")
         mine = mine.distinct()
-        for end in (own, other):
+        # The few documents asked for are visible themselves.
+        for end in (own, other) if only is None else (other,):
             mine = mine.join(seen.withColumnRenamed("document_id", end), end, "left_semi")
         return mine.groupBy(F.col(own).alias("document_id")).agg(F.count(F.lit(1)).alias(name))
 
@@ -168,7 +168,7 @@ def frontier(admitted: DataFrame, open_ids: DataFrame, live: DataFrame, links: D
 def graph(store: Store, spec: GraphSpec, live: DataFrame | None = None) -> GraphResult:
     live = store.live if live is None else live
     assert store.links is not None
-    links = written(store.links.select("source_id", "ord", "field", "target_norm", "target_id"))
+    links = store.links
     admitted, open_ids, complete, truncated = expand(live, links, spec)
     keys = [
         F.try_variant_get("frontmatter", "$" + "".join(f'["{f}"]' for f in k.split(".")), "variant").alias(k)
