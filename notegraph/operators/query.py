@@ -124,7 +124,10 @@ def selected(store: Store, spec: QuerySpec, live: DataFrame | None = None) -> Da
         rows = compile_filter(tree, tables).apply(rows)
     if spec.text is not None:
         query = fulltext.parse(spec.text, spec.stemmed)
-        indexed = fulltext.tokens(rows, spec.stemmed)
+        if store.indexed is not None:
+            indexed = store.indexed.join(rows.select("id"), "id", "left_semi")
+        else:
+            indexed = fulltext.tokens(rows, spec.stemmed)
         rows = rows.join(fulltext.bm25(indexed, query).withColumnRenamed("score", "_score"), "id")
     return rows
 

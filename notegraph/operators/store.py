@@ -21,7 +21,9 @@ BACKLOG_SCHEMA = "version_id long, attempts int, last_error string, next_retry_a
 
 @dataclass(frozen=True)
 class Store:
-    """``versions`` is append-only; which of them are live follows from ``prev_id``."""
+    """``versions`` is append-only; which of them are live follows from ``prev_id``. A large store keeps
+    two tables derived from it: ``current``, its live rows, which spares the anti-join of the log, and
+    ``indexed``, the terms of each version (``fulltext.tokens``), which spares reading bodies again."""
 
     versions: DataFrame
     links: DataFrame | None = None
@@ -29,10 +31,12 @@ class Store:
     backlog: DataFrame | None = None
     documents: DataFrame | None = None
     repos: DataFrame | None = None
+    current: DataFrame | None = None
+    indexed: DataFrame | None = None
 
     @property
     def live(self) -> DataFrame:
-        return live(self.versions)
+        return live(self.versions) if self.current is None else self.current
 
     def with_(self, **tables: DataFrame) -> Store:
         return replace(self, **tables)
@@ -44,6 +48,13 @@ def live(versions: DataFrame) -> DataFrame:
     return versions.join(followed, "id", "left_anti")
 
 
+def advanced(current: DataFrame, added: DataFrame) -> DataFrame:
+    """``current`` after the versions in ``added`` were appended: what they follow goes, and those that
+    nothing follows come. Only the ids of ``added`` meet the live rows."""
+    followed = added.where("prev_id IS NOT NULL").select(F.col("prev_id").alias("id"))
+    return current.join(followed, "id", "left_anti").unionByName(live(added))
+
+
 def with_next(versions: DataFrame) -> DataFrame:
     """``next_id``: the version that follows, the least one if a fault has given it several."""
     after = versions.where("prev_id IS NOT NULL").groupBy("prev_id").agg(F.min("id").alias("next_id"))

@@ -344,3 +344,16 @@ def test_cleared_links_and_totals(spark, base):
 def test_path_warnings(base):
     got = {r.path: r.reason for r in writes.path_warnings(live(base.versions), hidden="l", forbidden="x").collect()}
     assert got == {"leaf.md": "hidden", "lone.md": "hidden", "moc/index.md": "character"}
+
+
+def test_derived_tables_give_the_same(base):
+    own = base.with_(current=base.live, indexed=fulltext.tokens(base.versions))
+    for spec in ({}, {"text": "fox jump"}, {"text": '"quick fox"', "filter": 'title == "Mid"'}):
+        assert ask(own, **spec) == ask(base, **spec)
+
+
+def test_live_rows_advance_with_the_log(spark):
+    v, (a, b, c, d) = chained(spark)
+    current = live(v.where(F.col("id") <= b))
+    assert [r.id for r in store.advanced(current, v.where(F.col("id") > b)).collect()] == [d]
+    assert [r.id for r in store.advanced(current, v.where(F.col("id") == c)).collect()] == [c]
