@@ -70,7 +70,8 @@ def fit(
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> DataFrame:
     """(doc_id, text, y) of about ``limit`` labelled documents at most. Labels are combined by
-    maximum where a document has several; null identifiers and labels are left out."""
+    maximum where a document has several, and so are texts by minimum, before they are shuffled; null
+    identifiers and labels are left out."""
     known = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
@@ -80,7 +81,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int) ->
     if total > limit:
         part = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20))
         known = known.where(part < int((1 << 20) * limit / total))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")
+    return rows.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
 
 def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
