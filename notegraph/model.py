@@ -193,8 +193,18 @@ C = """c AS (
 )"""
 
 
+_stored: dict[tuple[str, str], Store] = {}
+
+
 def graph_store(spark: SparkSession, sf_dir: str, stored: bool = False) -> Store:
-    """Documents and links; ``stored``: as written tables, which walks of several rounds read."""
+    """Documents and links. ``stored``: as tables that are written once in a session, as a store has
+    them; walks of several rounds read these."""
+    key = (spark._jsparkSession.sessionUUID(), sf_dir)
+    if stored and key in _stored:
+        return _stored[key]
     own = nodes(spark, sf_dir).withColumn("prev_id", F.lit(None).cast("long"))
     edges = links(spark, sf_dir)
-    return Store(versions=written(own), links=written(edges)) if stored else Store(versions=own, links=edges)
+    if not stored:
+        return Store(versions=own, links=edges)
+    _stored[key] = Store(versions=written(own), links=written(edges))
+    return _stored[key]
