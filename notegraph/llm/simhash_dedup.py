@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from notegraph.llm import shingle_dedup
 from notegraph.llm.common import durable
 from notegraph.llm.components import connected
 
@@ -154,6 +155,5 @@ def near_dedup(
 
 
 def unique(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose identifier is that of their component; rows with null identifiers stay."""
-    later = near_dedup(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_later")).distinct()
-    return docs.join(later, F.col("doc_id") == F.col("_later"), "left_anti")
+    """The rows of ``docs`` that the pipeline keeps of near copies: by shared shingles, not by fingerprints."""
+    return shingle_dedup.unique(docs)
