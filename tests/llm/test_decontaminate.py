@@ -89,3 +89,10 @@ def test_a_large_benchmark_is_taken_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "SENT", 20_000)
     got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(x.doc_id, x.item_id): (x.similarity, x.start, x.words) for x in got} == brute(docs, items)
+
+
+def test_rows_are_cleaned_by_their_text(spark):
+    item = " ".join(f"item{i}" for i in range(30))
+    rows = [(None, f"before {item} after"), (None, "clean and without identifier"), (1, f"x {item}"), (1, "clean text with the same identifier"), (2, None)]
+    got = decontaminate.clean(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert {tuple(x) for x in got.collect()} == {rows[1], rows[3], rows[4]}
