@@ -24,7 +24,7 @@ from notegraph.llm.common import WORD, durable
 WEIGHTS = (3, 1, 2)
 #: Words and documents of a shard, about, and the most shards of one source: its plan is solved in one
 #: task. A source with more than SHARDS times as much gets larger shards.
-SHARD_WORDS, SHARD_DOCS = 1 << 22, 32
+SHARD_WORDS, SHARD_DOCS = 1 << 18, 32
 SHARDS = 1 << 16
 BLOCK = 1024
 #: Divisors that are tried at once, and how often.
