@@ -2,9 +2,10 @@
 
 A 64-bit fingerprint is mapped to the numbers of bits set in its 32 two-bit segments. The Manhattan
 distance of two such vectors never exceeds the Hamming distance of the fingerprints, so it prunes
-without loss. The 32 axes are dealt to GROUPS groups; a pair within Manhattan distance 2 differs in
-at most two groups, so it shares a grid cell on the axes of the others. Fingerprints are joined by
-those cells, pruned by the Manhattan bound, and verified by their exact Hamming distance.
+without loss. The 32 axes are dealt to groups; a pair within Manhattan distance 2 differs in at most
+two groups, so it shares a grid cell on the axes of the others. Fingerprints are joined by those cells,
+pruned by the Manhattan bound, and verified by their exact Hamming distance. What crowds a cell is
+dealt again on a finer grid of more groups, whose cells agree in more axes.
 """
 
 from __future__ import annotations
@@ -23,9 +24,10 @@ from notegraph.llm.common import durable
 from notegraph.llm.components import connected
 
 RADIUS = 2
-GROUPS = 5
-#: Cells with more fingerprints than this are linked through shared one-bit neighbours instead of in
-#: pairs: as exact, and linear in the size of the cell.
+#: Groups of the grids, coarse to fine: cells agree in 19, 28 and 30 of 32 axes.
+GROUPS = (5, 16, 32)
+#: Fingerprints that a cell may have for its pairs to be compared. Those that crowd all cells they share are alike
+#: in the bit counts of 30 segments, which no grid tells apart, and are linked through one-bit neighbours.
 CELL = 64
 _STEP = 1 << 15
 _LOW = 0x5555555555555555
@@ -84,46 +86,49 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def axis_masks(groups: int = GROUPS, radius: int = RADIUS) -> list[int]:
+def axis_masks(groups: int, radius: int = RADIUS) -> list[int]:
     """Masks of the axes that remain when any ``radius`` groups of segments are left out."""
     edges = [32 * g // groups for g in range(groups + 1)]
     parts = [sum(3 << (2 * s) for s in range(edges[g], edges[g + 1])) for g in range(groups)]
     return [_signed(sum(kept)) for kept in combinations(parts, groups - radius)]
 
 
-def links(points: DataFrame, radius: int = RADIUS, groups: int = GROUPS, cell: int = CELL) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints ``fp`` such that exactly those within ``radius``
-    differing bits are connected: every such pair in cells of up to ``cell`` fingerprints, and in
-    larger cells a chain of fingerprints that share a one-bit neighbour. ``radius`` must be 2 for the
-    latter: two fingerprints have a common one-bit neighbour if and only if they differ in at most 2."""
+def links(points: DataFrame, radius: int = RADIUS, groups: tuple[int, ...] = GROUPS, cell: int = CELL) -> DataFrame:
+    """Edges (a, b) between distinct fingerprints ``fp`` such that exactly those within ``radius`` differing bits
+    are connected: every such pair that shares a cell of up to ``cell`` fingerprints in one of the grids, and
+    a chain of those that share a one-bit neighbour among fingerprints whose cells are all larger. ``radius``
+    must be 2 for the latter: two fingerprints have a common one-bit neighbour if and only if they differ in
+    at most 2."""
     if radius != 2:
-        raise ValueError("large cells need radius 2")
-    keys = [F.xxhash64(F.lit(i), unary(F.col("fp")).bitwiseAND(F.lit(m))) for i, m in enumerate(axis_masks(groups, radius))]
-    cells = points.select("fp", F.explode(F.array(*keys)).alias("cell"))
-    # Written, so that the join has two plain exchanges and the rows of a large cell can be split.
-    sizes = durable(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
-    shared = durable(cells.join(sizes, "cell"))
-    small = shared.where(F.col("size") <= cell).select("cell", "fp")
-    other = small.select(F.col("cell"), F.col("fp").alias("b"))
+        raise ValueError("crowded cells need radius 2")
     apart = lambda x, y: F.bit_count(x.bitwiseXOR(y))
-    pairs = (
-        small.withColumnRenamed("fp", "a")
-        .join(other, "cell")
-        .where(F.col("a") < F.col("b"))
-        .where(apart(unary(F.col("a")), unary(F.col("b"))) <= radius)
-        .where(apart(F.col("a"), F.col("b")) <= radius)
-        .select("a", "b")
-    )
+    found, rest = [], points
+    for n in groups:
+        keys = [F.xxhash64(F.lit(i), unary(F.col("fp")).bitwiseAND(F.lit(m))) for i, m in enumerate(axis_masks(n, radius))]
+        cells = rest.select("fp", F.explode(F.array(*keys)).alias("cell"))
+        # Written, so that the join has two plain exchanges and the rows of a large cell can be split.
+        sizes = durable(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+        shared = durable(cells.join(sizes, "cell"))
+        small = shared.where(F.col("size") <= cell).select("cell", "fp")
+        found.append(
+            small.withColumnRenamed("fp", "a")
+            .join(small.withColumnRenamed("fp", "b"), "cell")
+            .where(F.col("a") < F.col("b"))
+            .where(apart(unary(F.col("a")), unary(F.col("b"))) <= radius)
+            .where(apart(F.col("a"), F.col("b")) <= radius)
+            .select("a", "b")
+        )
+        rest = durable(shared.where(F.col("size") > cell).select("fp").distinct())
+        if rest.isEmpty():
+            break
     flips = [F.col("fp").bitwiseXOR(F.lit(_signed(1 << k))) for k in range(64)]
-    near = (
-        shared.where(F.col("size") > cell)
-        .select("fp")
-        .distinct()
-        .select("fp", F.explode(F.array(F.col("fp"), *flips)).alias("middle"))
-    )
+    near = rest.select("fp", F.explode(F.array(F.col("fp"), *flips)).alias("middle"))
     least = near.groupBy("middle").agg(F.min("fp").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    chained = near.join(least, "middle").where("fp != b").select(F.col("fp").alias("a"), "b")
-    return pairs.unionByName(chained).distinct()
+    found.append(near.join(least, "middle").where("fp != b").select(F.col("fp").alias("a"), "b"))
+    pairs = found[0]
+    for more in found[1:]:
+        pairs = pairs.unionByName(more)
+    return pairs.distinct()
 
 
 def near_dedup(
