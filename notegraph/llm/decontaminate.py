@@ -1,15 +1,23 @@
 """Benchmark decontamination with DataFrame functions alone.
 
-Texts and benchmark items are sequences of five-word shingles. A window as long as an item and alike
-to it in 0.8 or more of the weighted shingles holds at least 0.8 of the item's shingles, and moved to
-start at its first shared shingle it loses none; so the windows that start with a shingle of the item
-are all that need a look. Such windows are fingerprinted by SimHash, matched to the item by a
-multi-index of Hamming blocks (RADIUS + 1 blocks: two fingerprints within RADIUS differing bits agree
-in a whole block), and verified by their exact weighted similarity.
+Texts and benchmark items are sequences of five-word shingles. An item is compared with windows of its own
+size: all of them that may be alike are fingerprinted by SimHash, whatever item they may be of, and
+matched to items of that size by a multi-index of Hamming blocks. A fingerprint is cut into BLOCKS
+blocks; two within RADIUS differing bits differ in at most SLACK bits of some block, and meet because
+the index holds every block of an item with up to ITEM_FLIPS bits flipped and a window asks for every
+block of its own with up to WINDOW_FLIPS. Pairs that the index finds are verified by the exact
+similarity of their weighted shingles, over all windows of the text.
+
+A window can't be alike to an item of its size unless nearly all of its shingles occur in items of that
+size. So only windows are fingerprinted that have so many; and since a window moved right to the next
+of them loses none, only those that start with one.
 """
 
 from __future__ import annotations
 
+import math
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,10 +25,16 @@ from notegraph.llm.common import SPACE, durable, held
 
 WORDS = 5
 SIMILARITY = 0.8
-#: At similarity 0.8 fingerprints differ in 9.7 bits of 64 in the mean, with deviation 2.9.
-RADIUS = 24
-#: Bytes of benchmark shingles that go to the executors at once; a larger benchmark is taken in blocks.
+#: Fingerprints of windows at similarity 0.8 differ in 9.7 bits of 64 in the mean, with deviation 2.9: one or two in
+#: a thousand of them differ in more than 19, and fewer of those more alike.
+BLOCKS = 5
+WINDOW_FLIPS, ITEM_FLIPS = 1, 2
+SLACK = WINDOW_FLIPS + ITEM_FLIPS
+RADIUS = BLOCKS * (SLACK + 1) - 1
+#: Bytes of the benchmark's tables that are sent to the executors; larger ones are joined by shuffles.
 SENT = 64 << 20
+#: Shingles of a text that are looked at together, besides those of the longest item.
+STRETCH = 4096
 
 
 def with_shingles(rows: DataFrame, text: Column, into: str = "shingles", words: int = WORDS) -> DataFrame:
@@ -57,89 +71,117 @@ def with_simhash(rows: DataFrame, shingles: str, into: str) -> DataFrame:
     return held(rows, into, bits).drop("_sums")
 
 
-def blocks(fp: Column, radius: int = RADIUS) -> Column:
-    """The ``radius`` + 1 blocks of a fingerprint, each tagged with its place."""
-    edges = [64 * k // (radius + 1) for k in range(radius + 2)]
-    # Bits a to b alone; a hash of two places can only add candidates.
-    part = lambda a, b: F.shiftrightunsigned(F.shiftleft(fp, 64 - b), 64 - b + a)
-    return F.array(*[F.xxhash64(F.lit(k), part(a, b)) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))])
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >= 1 << 63 else x
+
+
+def with_block_keys(rows: DataFrame, fp: str, size: str, flips: int, into: str) -> DataFrame:
+    """``rows``, one for each block of ``fp`` and each way to flip up to ``flips`` of its bits, with the key that a
+    block so changed has for windows of ``size`` shingles."""
+    edges = [64 * k // BLOCKS for k in range(BLOCKS + 1)]
+    ways = [
+        F.struct(F.lit(k).alias("k"), F.lit(_signed((1 << b) - (1 << a))).alias("own"), F.lit(_signed(sum(1 << i for i in bits))).alias("flip"))
+        for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))
+        for n in range(flips + 1)
+        for bits in combinations(range(a, b), n)
+    ]
+    # A hash of block, size and bits can only add candidates.
+    key = F.xxhash64("_way.k", size, F.col(fp).bitwiseXOR(F.col("_way.flip")).bitwiseAND(F.col("_way.own")))
+    return rows.withColumn("_way", F.explode(F.array(*ways))).withColumn(into, key).drop("_way")
+
+
+def _small(table: DataFrame, size: int) -> DataFrame:
+    return F.broadcast(table) if size <= SENT else table
+
+
+def stretches(texts: DataFrame, known: DataFrame, bytes_: int, longest: int, least: int) -> DataFrame:
+    """(doc_id, mark, base, own, at) of the stretches of ``texts`` (doc_id, mark, text) with ``least`` or more shingles
+    in ``known`` (h, sizes): the shingles ``own`` from ``base`` on, STRETCH of them and as many more as the longest
+    item has, and for those known the place in it and the sizes of the items that have it."""
+    cut = F.sequence(F.lit(0), F.greatest(F.size("shingles") - 1, F.lit(0)), F.lit(STRETCH))
+    rows = with_shingles(texts, F.col("text")).where(F.size("shingles") > 0).select("doc_id", "mark", "shingles", F.explode(cut).alias("base"))
+    rows = held(rows, "own", F.slice("shingles", F.col("base") + 1, STRETCH + longest)).drop("shingles")
+    key = ["doc_id", "mark", "base"]
+    places = F.collect_set(F.struct("p", "sizes")).alias("at")
+    if bytes_ <= SENT:
+        hits = rows.select(*key, "own", F.posexplode("own").alias("p", "h")).join(F.broadcast(known), "h")
+        found = hits.groupBy(*key).agg(F.first("own").alias("own"), places)
+    else:  # the shingles alone are shuffled, and the texts that have some of the benchmark's read again
+        hits = rows.select(*key, F.posexplode("own").alias("p", "h")).join(known, "h")
+        own = durable(hits.groupBy(*key).agg(places).where(F.size("at") >= least)).withColumnsRenamed({"doc_id": "d", "mark": "m", "base": "b"})
+        same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m")) & (F.col("base") == F.col("b"))
+        found = rows.dropDuplicates(key).join(own, same).drop("d", "m", "b")
+    return found.where(F.size("at") >= least).withColumn("at", F.array_sort("at"))
+
+
+def windows(rows: DataFrame, similarity: float) -> DataFrame:
+    """A row for each ``start`` of a ``window`` that may be alike to an item of ``n`` shingles, for rows of stretches
+    with such a size each."""
+    rows = held(rows, "_own_at", F.transform(F.filter("at", lambda x: F.array_contains(x["sizes"], F.col("n"))), lambda x: x["p"]))
+    rows = rows.where(F.size("_own_at") >= F.ceil(F.col("n") * similarity - 1e-9))
+    rows = rows.select("*", F.posexplode("_own_at").alias("_i", "start")).where(F.col("start") < STRETCH)
+    n = F.col("n")
+    needed = F.ceil((n + F.least(n, F.size("own") - F.col("start"))) * (similarity / (1 + similarity)) - 1e-9).cast("int")
+    rows = rows.where(F.get("_own_at", F.col("_i") + needed - 1) < F.col("start") + n).drop("_i", "_own_at")
+    return held(rows, "window", F.slice("own", F.col("start") + 1, n))
 
 
 def leaks(
     docs: DataFrame,
     benchmark: DataFrame,
     similarity: float = SIMILARITY,
-    radius: int = RADIUS,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """(doc_id, item_id, similarity, start, words) for each document and benchmark item of which the
-    document has a window: ``similarity`` of the most similar one, the first of its shingles, and its
-    number of shingles.
+    document has a window: ``similarity`` of the most similar one, the first shingle of the first such
+    that begins with a shingle of the item, and its number of shingles.
 
     A window has as many five-word shingles as the item, or fewer at the end of the text; the
     similarity of two multisets of shingles is the size of their intersection by that of their union.
+    Items of fewer than five words are one shorter shingle, found in documents that consist of it.
     Null and empty texts and items match nothing. Rows with the same identifiers are taken together,
     null identifiers too. Other columns are ignored; an empty table on either side gives no rows.
     """
-    own = with_shingles(benchmark.select(F.col("item_id"), F.col("text").alias("_text")), F.col("_text"), "own")
-    own = own.drop("_text").where(F.size("own") > 0).distinct()
-    own = durable(own.withColumn("item", F.xxhash64("item_id", "own")))
-    # A row of 40 bytes for each shingle, and the arrays of each item once.
-    size = own.agg(F.coalesce(F.sum(F.size("own") * 64 + 1000), F.lit(0))).first()[0]
-    blocks_ = max(1, -(-size // SENT))
-    parts = [
-        _leaks(docs, own.where(F.pmod("item", F.lit(blocks_)) == k), similarity, radius, id_col, text_col) for k in range(blocks_)
-    ]
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), "words")).alias("b"))
-    return best.select("doc_id", "item_id", "b.similarity", (-F.col("b.s")).alias("start"), "b.words")
-
-
-def _leaks(docs: DataFrame, own: DataFrame, similarity: float, radius: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, item_id, similarity, start, words) of every window alike to an item of ``own``: (item_id,
-    item, own), which fits in SENT bytes."""
-    items = with_simhash(own, "own", "item_fp").select(
-        "item",
-        "item_id",
-        F.size("own").alias("n"),
-        F.array_distinct("own").alias("once"),
-        "own",
-        "item_fp",
-        blocks(F.col("item_fp"), radius).alias("item_blocks"),
-    )
-    keys = own.select("item", F.explode(F.array_distinct("own")).alias("h"))
-    hits = held(
-        with_shingles(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")), F.col("_text"))
-        .select("doc_id", "shingles", F.posexplode("shingles").alias("start", "h"))
-        .join(F.broadcast(keys), "h")
-        .join(F.broadcast(items), "item"),
-        "window",
-        F.slice("shingles", F.col("start") + 1, F.col("n")),
-    ).drop("shingles", "h")
-    # The intersection has at most the distinct shared shingles and the item's repeats.
-    most = F.size(F.array_intersect("window", "once")) + F.col("n") - F.size("once")
-    hits = hits.where(most >= F.ceil(F.lit(similarity) * F.col("n") - 1e-9))
-    near = with_simhash(hits, "window", "fp").where(
-        F.arrays_overlap(blocks(F.col("fp"), radius), F.col("item_blocks"))
-        & (F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
-    )
+    items = with_shingles(benchmark.select("item_id", F.col("text").alias("_text")), F.col("_text"), "item_own")
+    items = items.drop("_text").where(F.size("item_own") > 0).distinct()
+    items = items.select("item_id", "item_own", F.size("item_own").alias("n"), F.array_distinct("item_own").alias("once"))
+    items = durable(with_simhash(items, "item_own", "item_fp").withColumn("item", F.xxhash64("item_id", "item_own")))
+    sizes = items.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.max("n"), F.lit(1)), F.coalesce(F.min("n"), F.lit(1))).first()
+    total, count, longest, shortest = sizes
+    known = items.select("n", F.explode("once").alias("h")).groupBy("h").agg(F.collect_set("n").alias("sizes"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("mark"), F.col(text_col).alias("text"))
+    # A shingle of the benchmark takes some 100 bytes with the sizes of its items, of which there are no more than shingles.
+    found = durable(stretches(texts, known, 100 * total, longest, max(1, math.ceil(shortest * similarity - 1e-9))))
+
+    key = ["doc_id", "mark", "base"]
+    sized = found.withColumn("n", F.explode(F.array_distinct(F.flatten(F.transform("at", lambda x: x["sizes"])))))
+    near = windows(sized, similarity).select(*key, "n", "window")
+    near = with_simhash(near, "window", "fp").select(*key, "n", "fp").distinct()
+    index = with_block_keys(items.select("item", "item_fp", "n"), "item_fp", "n", ITEM_FLIPS, "block").select("block", "item", "item_fp")
+    ways = sum(1 for k in range(ITEM_FLIPS + 1) for _ in combinations(range(-(-64 // BLOCKS)), k)) * BLOCKS
+    met = with_block_keys(near, "fp", "n", WINDOW_FLIPS, "block").join(_small(index, 48 * ways * count), "block")
+    met = met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
+    pairs = durable(met.select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), F.col("base").alias("b"), "item").distinct())
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m")) & (F.col("base") == F.col("b"))
+    whole = _small(items.select("item", "item_id", "item_own", "once", "n"), 20 * total + 200 * count)
+    tried = windows(found.join(pairs, same).drop("d", "m", "b").join(whole, "item"), similarity)
+    tried = tried.where(F.array_contains("once", F.get("own", "start")))
     count_in = lambda array, h: F.size(F.filter(array, lambda x: x == h))
-    shared = F.aggregate(
-        "once",
-        F.lit(0),
-        lambda a, h: a + F.least(count_in(F.col("window"), h), count_in(F.col("own"), h)),
-    )
-    found = held(near, "shared", shared).select(
+    shared = F.aggregate("once", F.lit(0), lambda a, h: a + F.least(count_in(F.col("window"), h), count_in(F.col("item_own"), h)))
+    alike = held(tried, "shared", shared).select(
         "doc_id",
         "item_id",
         (F.col("shared") / (F.col("n") + F.size("window") - F.col("shared"))).alias("similarity"),
-        "start",
+        (F.col("base") + F.col("start")).alias("start"),
         F.size("window").alias("words"),
     )
-    return found.where(F.col("similarity") >= similarity)
+    best = (
+        alike.where(F.col("similarity") >= similarity)
+        .groupBy("doc_id", "item_id")
+        .agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), "words")).alias("b"))
+    )
+    return best.select("doc_id", "item_id", "b.similarity", (-F.col("b.s")).alias("start"), "b.words")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -170,20 +212,27 @@ WITH d AS (
 ), total AS (SELECT r, max(p) + 1 AS t FROM dh GROUP BY r
 ), hit AS (
   SELECT dh.doc_id, dh.r, dh.p, ic.item_id, ic.r AS ir, dh.h, ic.c FROM dh JOIN ic ON dh.h = ic.h
+), a AS (
+  -- every window that holds a shingle of the item, wherever it starts
+  SELECT doc_id, r, item_id, ir, p, bool_or(own) AS own FROM (
+    SELECT hit.doc_id, hit.r, hit.item_id, hit.ir, unnest(generate_series(greatest(0, hit.p - n.n + 1), hit.p)) AS p,
+           unnest(generate_series(greatest(0, hit.p - n.n + 1), hit.p)) = hit.p AS own
+    FROM hit JOIN n ON n.r = hit.ir
+  ) GROUP BY ALL
 ), win AS (
-  SELECT a.doc_id, a.r, a.item_id, a.ir, a.p, b.h, least(count(*), any_value(b.c)) AS o
-  FROM hit a JOIN n ON n.r = a.ir
+  SELECT a.doc_id, a.r, a.item_id, a.ir, a.p, a.own, b.h, least(count(*), any_value(b.c)) AS o
+  FROM a JOIN n ON n.r = a.ir
   JOIN hit b ON a.r = b.r AND a.ir = b.ir AND b.p >= a.p AND b.p < a.p + n.n
-  GROUP BY a.doc_id, a.r, a.item_id, a.ir, a.p, b.h
+  GROUP BY a.doc_id, a.r, a.item_id, a.ir, a.p, a.own, b.h
 ), sim AS (
-  SELECT win.doc_id, win.item_id, win.p, sum(o) AS o, any_value(n.n) AS n,
+  SELECT win.doc_id, win.item_id, win.p, any_value(own) AS own, sum(o) AS o, any_value(n.n) AS n,
          any_value(least(n.n, total.t - win.p)) AS s
   FROM win JOIN n ON n.r = win.ir JOIN total ON total.r = win.r
   GROUP BY win.doc_id, win.r, win.item_id, win.ir, win.p
 ), good AS (
-  SELECT doc_id, item_id, CAST(o AS DOUBLE) / CAST(n + s - o AS DOUBLE) AS similarity, p, s FROM sim
+  SELECT doc_id, item_id, CAST(o AS DOUBLE) / CAST(n + s - o AS DOUBLE) AS similarity, own, p, s FROM sim
 )
 SELECT doc_id, item_id, similarity, CAST(p AS INTEGER) AS start, CAST(s AS INTEGER) AS words FROM good
 WHERE similarity >= 0.8
-QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, p, s DESC) = 1
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, own DESC, p, s DESC) = 1
 """
