@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,11 +32,19 @@ def _folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/notegraph-{spark.sparkContext.applicationId}"
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def sweep(spark: SparkSession) -> None:
     """Remove the tables that this application's operators have written. Results that were not stored
     elsewhere can't be read after it."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _remove(spark, _folder(spark))
+
+
+#: Folders written in each open ``scratch``, innermost last.
+_open: list[list[str]] = []
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -43,9 +53,32 @@ def durable(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _open:
+        _open[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables written inside are removed at the end, but for those that are given to what it yields, which writes
+    them. Nothing else from inside can be read after it."""
+    kept: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        out = durable(df)
+        kept.append(_open[-1].pop())
+        return out
+
+    _open.append([])
+    try:
+        yield keep
+    finally:
+        for path in _open.pop():
+            _remove(spark, path)
+        if _open:
+            _open[-1].extend(kept)
+
+
 def ascii_lower(text: Column) -> Column:
     """``text`` with A-Z alone lower-cased; null counts as empty.
 
