@@ -18,15 +18,16 @@ from pyspark.sql import types as T
 
 from notegraph.llm import ngrams
 from notegraph.llm.common import named
-from notegraph.llm.toxicity import fold_of, training_rows
+from notegraph.llm.toxicity import collected, fold_of, training_rows
 
 BITS = 18
-#: The model is fitted on about this many labelled documents, chosen by a hash of their identifier.
+#: The model is fitted on about this many labelled documents, chosen by a hash of their identifier, and on fewer
+#: where their features take more than the bytes that toxicity.collected allows.
 TRAIN_DOCS = 4000
 THRESHOLD = 0.3
 
 
-def slots_of(column: pa.Array) -> Iterator[np.ndarray]:
+def slots_of(column: pa.Array, shapes: bool = True) -> Iterator[np.ndarray]:
     """The distinct slots of each row of a binary column. Null counts as empty."""
     shift = np.uint64(64 - BITS)
     place = np.zeros(1 << BITS, dtype=np.int64)
@@ -39,7 +40,7 @@ def slots_of(column: pa.Array) -> Iterator[np.ndarray]:
             # Which neighbours are equal, over runs of four words: an n-gram of repetition shapes.
             same = (own[1:] == own[:-1]).astype(np.uint64)
             shape = ngrams.mix(same[:-2] * np.uint64(4) + same[1:-1] * np.uint64(2) + same[2:] + np.uint64(1 << 40))
-            parts = [own >> shift, pairs >> shift, shape >> shift]
+            parts = [own >> shift, pairs >> shift, *([shape >> shift] if shapes else [])]
             if cell.is_valid:
                 raw = np.frombuffer(cell.as_buffer(), dtype=np.uint8)
                 # Windows of a long text are taken in pieces; the slots of a piece are few.
@@ -110,7 +111,7 @@ def calibrate(margins: np.ndarray, labels: np.ndarray, steps: int = 60) -> tuple
     return max(float(theta[0]), 1e-3) / spread, float(theta[1])
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, float, float]:
+def fit(rows: list[np.ndarray], labels: np.ndarray, cost: float = 1.0) -> tuple[np.ndarray, float, float]:
     """Weights by slot with the intercept last, and the curve. One in four rows is kept for the curve,
     after which the weights are fitted again on all rows. Without rows of both labels every score is
     the share of label 1, or one half without rows."""
@@ -126,10 +127,10 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, float,
         seen = labels
     else:
         seen = labels[~apart]
-    w = descend(part, seen, log_ratios(part, seen))
+    w = descend(part, seen, log_ratios(part, seen), cost)
     margins = np.array([w[x].sum() + w[-1] for x, out in zip(rows, apart, strict=True) if out])
     a, b = calibrate(margins, labels[apart])
-    return descend(rows, labels, log_ratios(rows, labels)), a, b
+    return descend(rows, labels, log_ratios(rows, labels), cost), a, b
 
 
 def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,8 +145,7 @@ def learn(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> tuple[
     """The model of the rows of ``labels`` that are not held out: those whose crc32(doc_id) mod 5 is not 0."""
     known = labels.where(fold_of("doc_id", 5) != 0)
     rows = training_rows(docs, known, "quality", limit).select("doc_id", F.col("text").cast("binary"), "y")
-    got = rows.mapInArrow(_training, "doc_id long, y int, slots binary").toArrow().to_pylist()
-    got.sort(key=lambda r: (r["doc_id"] * 0x9E3779B97F4A7C15 % (1 << 64), r["slots"]))
+    got = collected(rows.mapInArrow(_training, "doc_id long, y int, slots binary"))
     return fit(
         [np.sort(np.frombuffer(r["slots"], dtype=np.uint32).astype(np.int64)) for r in got],
         np.array([r["y"] for r in got], dtype=float),

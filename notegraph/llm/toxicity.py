@@ -11,16 +11,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from notegraph.llm import ngrams
-from notegraph.llm.common import named
+from notegraph.llm.common import durable, named
 
 BITS = 20
-#: The model is fitted on about this many labelled documents, chosen by a hash of their identifier.
-TRAIN_DOCS = 6000
+#: The model is fitted on about this many labelled documents, chosen by a hash of their identifier, and on fewer
+#: where their features take more bytes than TRAIN_BYTES.
+TRAIN_DOCS, TRAIN_BYTES = 6000, 1 << 29
 THRESHOLD = 0.3
 #: Lengths in bytes of the beginnings of words that are features: one stem has many endings.
 STEMS = (4, 5, 6, 7)
@@ -43,9 +44,9 @@ def fit(
     epochs: int = 4,
     alpha: float = 1.0,
     beta: float = 1.0,
-    l1: float = 8.0,
+    l1: float = 12.0,
     l2: float = 0.5,
-    positive: float = 2.0,
+    positive: float = 1.0,
 ) -> tuple[np.ndarray, float]:
     """Weights by slot and the intercept. ``rows``: the slots present in each document; ``positive``:
     the weight of a document with label 1. Without rows of both labels only the intercept is fitted."""
@@ -68,6 +69,11 @@ def fit(
     return w, bias
 
 
+def _share(share: float, seed: int) -> Column:
+    """Whether a row is in a ``share`` of all, chosen by a hash of doc_id."""
+    return F.xxhash64("doc_id", F.lit(seed)).bitwiseAND(F.lit((1 << 63) - 1)) <= int(((1 << 63) - 1) * share)
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> DataFrame:
     """(doc_id, text, y) of about ``limit`` labelled documents at most. Labels are combined by
     maximum where a document has several, and so are texts by minimum, before they are shuffled; null
@@ -79,8 +85,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int) ->
     )
     total = known.count()
     if total > limit:
-        part = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20))
-        known = known.where(part < int((1 << 20) * limit / total))
+        known = known.where(_share(limit / total, 5))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")
     return rows.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
@@ -99,10 +104,17 @@ def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def collected(rows: DataFrame, most: int = TRAIN_BYTES) -> list[dict]:
+    """The training rows (doc_id, y, slots) in a fixed order, about ``most`` bytes of them at most."""
+    rows = durable(rows)
+    size = rows.agg(F.sum(F.octet_length("slots"))).first()[0] or 0
+    got = (rows if size <= most else rows.where(_share(most / size, 6))).toArrow().to_pylist()
+    return sorted(got, key=lambda r: (r["doc_id"] * 0x9E3779B97F4A7C15 % (1 << 64), r["slots"]))
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = TRAIN_DOCS) -> tuple[np.ndarray, float]:
     rows = training_rows(docs, labels, label, limit).select("doc_id", F.col("text").cast("binary"), "y")
-    got = rows.mapInArrow(_slots, "doc_id long, y int, slots binary").toArrow().to_pylist()
-    got.sort(key=lambda r: (r["doc_id"] * 0x9E3779B97F4A7C15 % (1 << 64), r["slots"]))
+    got = collected(rows.mapInArrow(_slots, "doc_id long, y int, slots binary"))
     return fit(
         [np.frombuffer(r["slots"], dtype=np.uint32).astype(np.int64) for r in got],
         np.array([r["y"] for r in got], dtype=float),

@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions
 
 from notegraph.llm import ngrams, quality, toxicity
 
@@ -98,3 +99,47 @@ def test_dual_descent_meets_the_optimum():
         step = np.zeros_like(raw)
         step[:40], step[-1] = r.normal(size=40) * 0.02, r.normal() * 0.02
         assert loss(raw + step) >= best - 1e-2
+
+
+def test_ftrl_coordinate_by_coordinate():
+    """The update written out for one coordinate at a time."""
+    import math
+
+    r = random.Random(4)
+    rows = [sorted(r.sample(range(30), r.randint(0, 12))) for _ in range(120)]
+    labels = [float(3 in x or 7 in x) for x in rows]
+    alpha, beta, l1, l2, positive = 0.7, 1.0, 1.5, 0.3, 1.5
+    z, n, bias, seen = [0.0] * 30, [0.0] * 30, 0.0, 1.0
+    weight = lambda i: 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+    for _ in range(3):
+        for x, y in zip(rows, labels, strict=True):
+            p = 1 / (1 + math.exp(-(bias + sum(weight(i) for i in x))))
+            g = (p - y) * (positive if y else 1.0)
+            seen += g * g
+            bias -= 0.5 * g / math.sqrt(seen)
+            for i in x:
+                rate = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha
+                z[i] += g - rate * weight(i)
+                n[i] += g * g
+    w, b = toxicity.fit([np.array(x, dtype=np.int64) for x in rows], np.array(labels), 3, alpha, beta, l1, l2, positive)
+    assert np.allclose(w[:30], [weight(i) for i in range(30)]) and abs(b - bias) < 1e-9
+    assert not w[30:].any() and (w[:30] == 0).any() and (w[:30] != 0).any()
+
+
+@pytest.mark.parametrize("score", [toxicity.toxicity, quality.quality])
+def test_rows_without_words_get_the_score_of_the_intercept(spark, score):
+    rows = [(i, "bad awful words here" if i % 3 == 0 else "good fine words there") for i in range(90)]
+    odd = [(1000, None), (1001, ""), (None, ""), (1002, ""), (1002, ""), (5, "bad awful words here"), (5, "good fine words there")]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), int(i % 3 == 0)) for i in range(90)] + [(0, 0, 0)], "doc_id long, quality int, toxic int")
+    got = score(spark.createDataFrame(rows + odd, "doc_id long, text string"), labels).collect()
+    assert len(got) == 97 and len({x.score for x in got if x.doc_id is None or x.doc_id >= 1000}) == 1
+    own = sorted(x.score for x in got if x.doc_id == 5)
+    assert len(own) == 3 and own[0] < own[-1] and len(set(own)) == 2
+    assert not any(x.held_out for x in got if x.doc_id is None)
+
+
+def test_a_share_of_very_many_labels_is_not_empty(spark):
+    df = spark.range(200_000).select(functions.col("id").alias("doc_id"))
+    assert df.where(toxicity._share(1e-3, 5)).count() > 100
+    assert df.where(toxicity._share(6000 / 1e13, 5)).count() == 0  # none of these, but the bound is not zero
+    assert int(((1 << 63) - 1) * 6000 / 1e13) > 1e9
