@@ -98,6 +98,10 @@ VISIBLE = {
         Visibility(claims=(Claim(("*",), ("en/**", "!en/src1*/**", "de/src2/*")),)),
         "CASE WHEN regexp_matches(path, '^de/src2/[^/]*$') THEN true WHEN regexp_matches(path, '^en/src1[^/]*/.*$') THEN false ELSE regexp_matches(path, '^en/.*$') END",
     ),
+    "fp_glob_question": (
+        Visibility(claims=(Claim(("*",), ("en/src?/**", "d?/src1?/*", "!**/*7.m?")),)),
+        "CASE WHEN regexp_matches(path, '^(.*/)?[^/]*7\\.m[^/]$') THEN false WHEN regexp_matches(path, '^d[^/]/src1[^/]/[^/]*$') THEN true ELSE regexp_matches(path, '^en/src[^/]/.*$') END",
+    ),
     "fp_scope_by_repo": (
         Visibility(claims=(Claim(("al*",), ("fr/**",)), Claim(("beta",), ("*7.md",))), slugs={0: "alpha", 1: "beta", 2: "gamma"}),
         "NOT starts_with(path, '.') AND NOT starts_with(path, ':') AND ((repo_id = 0 AND starts_with(path, 'fr/')) OR (repo_id = 1 AND ends_with(path, '7.md')))",

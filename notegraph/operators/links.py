@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import posixpath
 import re
+from bisect import bisect_right
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -44,9 +46,34 @@ class Edge:
 
 _FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})([^\n]*)$")
 _DEFINITION = re.compile(r"^ {0,3}\[((?:\\.|[^\[\]\\])+)\]:[ \t]*\n?[ \t]*(?:<([^<>\n]*)>|(\S+))", re.M)
-_WIKI = re.compile(r"!?\[\[([^\]\n]+?)\]\]")
-_PATH = re.compile(r"(?:^|(?<=[\s(\[\"'`<>]))(/[^\s\])\"'`<>]+\.md(?:#[^\s\])\"'`<>]*)?)")
-_WHOLE_PATH = re.compile(r"^/[^\s#]+\.md(?:#.*)?$")
+_SPECIAL = re.compile(r"[\\\[\]]")
+_WIKI_STOP = re.compile(r"[\]\n]")
+# What may stand before a path written in the text, and what ends it.
+_BEFORE_PATH = frozenset("([\"'`<>")
+_PATH_RUN = re.compile(r"""[^\s\])"'`<>]*""")
+PAGE = ".md"
+
+
+class Ranges:
+    """Ranges of a text, merged where they meet; looked up by bisection."""
+
+    def __init__(self, found: list[tuple[int, int]]) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted(found):
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def end_at(self, at: int) -> int | None:
+        """The end of the range that holds ``at``."""
+        k = bisect_right(self.starts, at) - 1
+        return self.ends[k] if k >= 0 and at < self.ends[k] else None
+
+    def __contains__(self, at: int) -> bool:
+        return self.end_at(at) is not None
 
 
 def code_ranges(text: str) -> list[tuple[int, int]]:
@@ -126,31 +153,22 @@ def _destination(text: str, at: int) -> tuple[str, int, int, int] | None:
     return (text[start:end], start, end, m.end()) if m else None
 
 
-def _markdown(text: str, code: list[tuple[int, int]], config: LinkConfig, skip: list[tuple[int, int]]) -> list[tuple[int, Edge]]:
-    inside = lambda k: any(a <= k < b for a, b in code)
+def _markdown(text: str, code: Ranges, config: LinkConfig, wiki: list[tuple[int, int]]) -> list[tuple[int, Edge]]:
     known: dict[str, tuple[str, int, int]] = {}
     defined: list[tuple[int, int]] = []
     for m in _DEFINITION.finditer(text):
-        if not inside(m.start()):
+        if m.start() not in code:
             g = 2 if m[2] is not None else 3
             known.setdefault(_label(m[1]), (m[g], *m.span(g)))
             defined.append(m.span())
+    skip = Ranges([*zip(code.starts, code.ends, strict=True), *wiki, *defined])
     out: list[tuple[int, Edge]] = []
     open_: list[tuple[int, bool]] = []
     k = 0
-    while k < len(text):
-        c = text[k]
-        block = next((b for a, b in code if a <= k < b), None)
-        if block is not None:
-            k = block
-            continue
-        wiki = next((b for a, b in skip if a <= k < b), None)
-        if wiki is not None:
-            k = wiki
-            continue
-        defined_end = next((b for a, b in defined if a <= k < b), None)
-        if defined_end is not None:
-            k = defined_end
+    while m := _SPECIAL.search(text, k):
+        k, c = m.start(), m.group()
+        if (end := skip.end_at(k)) is not None:
+            k = end
             continue
         if c == "\\":
             k += 2
@@ -179,26 +197,54 @@ def _markdown(text: str, code: list[tuple[int, int]], config: LinkConfig, skip:
     return out
 
 
-def _wikilinks(text: str, code: list[tuple[int, int]]) -> list[tuple[int, int, Edge]]:
+def _wikilinks(text: str, code: Ranges) -> list[tuple[int, int, Edge]]:
+    """Links ``[[page|label]]`` of one line; a ``!`` before it embeds the page."""
     out = []
-    for m in _WIKI.finditer(text):
-        if any(a <= m.start() < b for a, b in code):
+    at = text.find("[[")
+    while at >= 0 and (m := _WIKI_STOP.search(text, at + 2)):
+        stop = m.start()
+        if stop == at + 2 or not text.startswith("]]", stop):
+            at = text.find("[[", stop)
             continue
-        page = m[1].split("|")[0]
-        if target := page.strip():
-            start = m.start(1) + len(page) - len(page.lstrip())
-            out.append((m.start(), m.end(), Edge(BODY, target, True, start, start + len(target))))
+        begin = at - (text[at - 1 : at] == "!")
+        page = text[at + 2 : stop].split("|", 1)[0]
+        target = page.strip()
+        if target and begin not in code:
+            start = at + 2 + len(page) - len(page.lstrip())
+            out.append((begin, stop + 2, Edge(BODY, target, True, start, start + len(target))))
+        at = text.find("[[", stop + 2)
     return out
 
 
+def _paths(text: str, code: Ranges) -> Iterator[tuple[int, Edge]]:
+    """Paths from the root to a page that stand in the text by themselves, with the anchor that follows."""
+    at = text.find("/")
+    while at >= 0:
+        end = at + 1
+        if at == 0 or text[at - 1].isspace() or text[at - 1] in _BEFORE_PATH:
+            run = _PATH_RUN.match(text, at).group()
+            end = at + len(run)
+            page = run.rfind(PAGE)
+            if page > 1:
+                after = page + len(PAGE)
+                end = end if run.startswith("#", after) else at + after
+                if at not in code:
+                    yield at, Edge(BODY, text[at:end], False, at, end)
+        at = text.find("/", end)
+
+
+def _is_path(value: str) -> bool:
+    """Whether a string is, as a whole, a path from the root to a page, with an anchor or not."""
+    page = value.split("#", 1)[0]
+    return "\n" not in value and page.startswith("/") and page.endswith(PAGE) and len(page) > 1 + len(PAGE) and not any(c.isspace() for c in page)
+
+
 def _scan(text: str, config: LinkConfig, paths: bool) -> list[Edge]:
-    code = code_ranges(text)
+    code = Ranges(code_ranges(text))
     wiki = _wikilinks(text, code) if config.wikilink else []
     hits = [(a, e) for a, _, e in wiki] + _markdown(text, code, config, [(a, b) for a, b, _ in wiki])
     if paths and config.fullpath:
-        for m in _PATH.finditer(text):
-            if not any(a <= m.start(1) < b for a, b in code):
-                hits.append((m.start(1), Edge(BODY, m[1], False, m.start(1), m.end(1))))
+        hits += _paths(text, code)
     taken: set[tuple[int, int]] = set()
     out = []
     for _, e in sorted(hits, key=lambda h: h[0]):
@@ -215,7 +261,7 @@ def extract(body: str, frontmatter: object, config: LinkConfig = LinkConfig()) -
     def walk(node: object, path: list[str]) -> None:
         if isinstance(node, str):
             name = ".".join(path)
-            if config.fullpath and _WHOLE_PATH.match(node.strip()):
+            if config.fullpath and _is_path(node.strip()):
                 out.append(Edge(name, node.strip(), False))
             else:
                 out.extend(Edge(name, e.target, e.wiki) for e in _scan(node, config, False))

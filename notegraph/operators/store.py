@@ -43,7 +43,9 @@ class Store:
 
 
 def live(versions: DataFrame) -> DataFrame:
-    """Versions that no other follows. The ids of predecessors are all that is shuffled of the other side."""
+    """Versions that no other follows. Of the other side only the ids of predecessors are shuffled; of this one,
+    whole rows, unless the log is bucketed by ``id``. A large store keeps its live rows as a table, which
+    ``advanced`` moves along."""
     followed = versions.where("prev_id IS NOT NULL").select(F.col("prev_id").alias("id"))
     return versions.join(followed, "id", "left_anti")
 

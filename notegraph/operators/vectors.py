@@ -58,11 +58,12 @@ def command_embedder(command: Sequence[str], timeout: float = 60) -> Embedder:
 
 
 def hash_embedder(size: int = 8) -> Embedder:
-    """Unit vectors from hashes, for tests."""
+    """Unit vectors from hashes, for tests. Lanes that the digest has no byte for take one of its digest with the lane."""
 
     def one(text: str) -> list[float]:
         raw = hashlib.sha256(text.encode()).digest()
-        v = [raw[i % 32] / 127.5 - 1 for i in range(size)]
+        more = lambda i: hashlib.sha256(raw + str(i).encode()).digest()[i % 32]
+        v = [(raw[i] if i < len(raw) else more(i)) / 127.5 - 1 for i in range(size)]
         norm = sum(x * x for x in v) ** 0.5 or 1.0
         return [x / norm for x in v]
 

@@ -12,26 +12,18 @@ from pyspark.sql import functions as F
 HIDDEN, SYSTEM = ".", ":"
 
 
+#: What the signs of a glob stand for. Any other character stands for itself.
+GLOB_SIGNS = {"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}
+_GLOB_PARTS = re.compile("|".join([*map(re.escape, GLOB_SIGNS), "[^*?]+"]))
+
+
 def glob_to_regex(glob: str) -> str:
-    """An anchored regular expression. ``**/`` matches any number of segments, ``/**`` at the end the
-    subtree, ``**`` anything, ``*`` within a segment. A leading slash anchors at the root; a pattern
-    without any slash matches a name at every depth."""
-    rooted = glob.startswith("/")
-    body = glob[1:] if rooted else glob
-    out = "" if rooted or "/" in body else "(?:.*/)?"
-    at = 0
-    while at < len(body):
-        if body.startswith("**/", at):
-            out, at = out + "(?:.*/)?", at + 3
-        elif body[at:] == "/**":
-            out, at = out + "/.*", at + 3
-        elif body.startswith("**", at):
-            out, at = out + ".*", at + 2
-        elif body[at] == "*":
-            out, at = out + "[^/]*", at + 1
-        else:
-            out, at = out + re.escape(body[at]), at + 1
-    return f"^{out}$"
+    """An anchored regular expression. ``**/`` matches any number of segments, ``**`` anything, ``*`` a run within
+    a segment and ``?`` one character of it. A leading slash anchors at the root; a pattern without any
+    slash matches a name at every depth."""
+    body = glob.removeprefix("/")
+    depth = "(?:.*/)?" if "/" not in glob else ""
+    return f"^{depth}{''.join(GLOB_SIGNS.get(x) or re.escape(x) for x in _GLOB_PARTS.findall(body))}$"
 
 
 def matches_any(path: Column, globs: Iterable[str]) -> Column:

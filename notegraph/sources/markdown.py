@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from notegraph.functions import columns, text
+from notegraph.operators.cut import written
 from notegraph.plans.visibility import matches_any
 
 
@@ -47,9 +48,17 @@ def parsed(rows: DataFrame) -> DataFrame:
 
 
 def seeded(rows: DataFrame, repo_id: int = 1, author: str = "seed", start: str = "2026-01-01T00:00:00Z") -> DataFrame:
-    """Parsed files as the first versions of documents, numbered by path. A corpus of files is listed
-    by one driver, so one window orders its paths."""
-    numbered = rows.select("path").withColumn("id", F.row_number().over(Window.orderBy("path")).cast("long"))
+    """Parsed files as the first versions of documents, numbered by path: ranges of paths are numbered each, and
+    the paths of the ranges before are added."""
+    dealt = written(
+        rows.select("path")
+        .repartitionByRange("path")
+        .withColumn("part", F.spark_partition_id())
+        .withColumn("own", F.row_number().over(Window.partitionBy("part").orderBy("path")))
+    )
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    starts = dealt.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+    numbered = dealt.join(starts, "part").select("path", (F.col("start") + F.col("own")).cast("long").alias("id"))
     made = F.date_format(F.timestamp_millis(F.unix_millis(F.to_timestamp(F.lit(start))) + F.col("id") * 1000), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     return rows.join(numbered, "path").select(
         "id", F.col("id").alias("document_id"), F.lit(repo_id).cast("long").alias("repo_id"), F.lit(None).cast("long").alias("prev_id"),

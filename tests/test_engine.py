@@ -357,3 +357,50 @@ def test_live_rows_advance_with_the_log(spark):
     current = live(v.where(F.col("id") <= b))
     assert [r.id for r in store.advanced(current, v.where(F.col("id") > b)).collect()] == [d]
     assert [r.id for r in store.advanced(current, v.where(F.col("id") == c)).collect()] == [c]
+
+
+@pytest.mark.parametrize(
+    ("glob", "yes", "no"),
+    [
+        ("/f?o.md", ["foo.md", "f1o.md"], ["fo.md", "fooo.md", "f/o.md", "a/foo.md"]),
+        ("doc?.md", ["doc1.md", "a/b/docx.md"], ["doc.md", "doc12.md", "doc/.md"]),
+        ("a/?/b", ["a/x/b"], ["a//b", "a/xy/b", "z/a/x/b"]),
+        ("notes/**", ["notes/a", "notes/a/b.md"], ["notes", "x/notes/a"]),
+        ("**/x.md", ["x.md", "a/x.md", "a/b/x.md"], ["ax.md"]),
+        ("a/*.md", ["a/b.md", "a/.md"], ["a/b/c.md", "a/bxmd"]),
+        ("**", ["a", "a/b"], []),
+        ("a+(b)[c].md", ["a+(b)[c].md"], ["aab.md"]),
+    ],
+)
+def test_every_sign_of_a_glob(spark, glob, yes, no):
+    from pyspark.sql import functions as F
+
+    from notegraph.plans.visibility import glob_to_regex
+
+    rows = spark.createDataFrame([(x,) for x in yes + no], "path string")
+    assert {x.path for x in rows.where(F.col("path").rlike(glob_to_regex(glob))).collect()} == set(yes)
+
+
+def test_written_paths_and_wikilinks():
+    from notegraph.operators.links import extract
+
+    body = "see /a/b.md, (/c.md#top) and /d.md.txt or x/e.md [[ Page one |label]] ![[img]] [[]] [[two\nlines]] `[[code]]` /f.txt /.md \"/g.md\""
+    assert [(e.target, e.wiki) for e in extract(body, {})] == [
+        ("/a/b.md", False), ("/c.md#top", False), ("/d.md", False), ("Page one", True), ("img", True), ("/g.md", False),
+    ]
+    assert [e.target for e in extract("", {"k": " /x/y.md#z ", "l": ["/not a path.md", "/h.md"]})][0] == "/x/y.md#z"
+
+
+def test_links_of_long_texts_take_no_long():
+    from notegraph.operators.links import extract
+
+    assert len(extract("`code` [[page]] [a](b.md) /p.md\n" * 20_000, {})) == 60_000
+    extract("[[" * 50_000 + "]", {})
+    extract("(/" * 50_000, {})
+
+
+def test_lanes_past_the_digest_differ():
+    from notegraph.operators.vectors import hash_embedder
+
+    _, [v] = hash_embedder(96)(["text"])
+    assert v[:32] != v[32:64] != v[64:] and abs(sum(x * x for x in v) - 1) < 1e-9
