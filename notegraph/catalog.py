@@ -136,10 +136,10 @@ _SEEN = "NOT starts_with(path, '.') AND NOT starts_with(path, ':')"
 @register(
     "pr_select",
     f"WITH {D} SELECT path, 'v' || id AS version, lang, CAST(quality AS VARCHAR) AS quality, source AS owner, "
-    f"sha256('---\nlang: ' || lang || '\n---\n' || body) AS hash FROM d WHERE {_SEEN} AND n_chars < 400",
+    f"sha256('---\nlang: ' || lang || '\n---\n' || body) AS hash FROM d WHERE {_SEEN}",
 )
 def pr_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spec = QuerySpec(filter="n_chars < 400")
+    spec = QuerySpec()
     rows = query.selected(Store(model.documents(spark, sf_dir)), spec)
     got = query.project(rows, ("$path", "$version_id", "lang", "quality", "meta.owner", "$content_hash"))
     as_text = lambda c: F.try_variant_get(F.col(f"`{c}`"), "$", "string")
@@ -687,9 +687,9 @@ def fn_deleted_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.documents(spark, sf_dir).select("id", columns.deleted_path(F.col("path"), F.col("id")).alias("path"))
 
 
-@register("fn_fold_path", f"WITH {D} SELECT id, lower(nfc_normalize(body)) AS folded FROM d WHERE n_chars < 1000")
+@register("fn_fold_path", f"WITH {D} SELECT id, lower(nfc_normalize(body)) AS folded FROM d")
 def fn_fold_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return model.documents(spark, sf_dir).where("length(body) < 1000").select("id", columns.fold_path("body").alias("folded"))
+    return model.documents(spark, sf_dir).select("id", columns.fold_path("body").alias("folded"))
 
 
 @register("fn_version_ref", f"WITH {V} SELECT id, 'v' || id AS ref, id AS number FROM v")
