@@ -75,6 +75,51 @@ def test_added_spans():
     assert [pii.joined(b) for b, _ in found] == ["", "", "", "ip:4:19", "", ""]
 
 
+@pytest.mark.parametrize(
+    ("text", "span"),
+    [
+        ("write JANE (AT) EXAMPLE (DOT) COM soon", "JANE (AT) EXAMPLE (DOT) COM"),
+        ("you can write jane at example dot com today", "jane at example dot com"),
+        ("contact: Bob At Example Dot Com.", "Bob At Example Dot Com"),
+        ("her mail is x at example dot co dot uk ok", "x at example dot co dot uk"),
+        ("please mail tom dot jones at site dot org", "tom dot jones at site dot org"),
+        ("she looked at the dot on the wall", None),
+        ("aim at center dot then shoot", None),
+        ("He arrived at noon. dot dot dot", None),
+    ],
+)
+def test_written_out_addresses(text, span):
+    ((_, more),) = pii.find([text], pii.model())
+    assert [text[a:b] for _, a, b in more] == ([span] if span else [])
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_sequences_are_whole_words_in_order(seed):
+    r = random.Random(seed)
+    text = "".join(r.choice(["word", "é" * 70, "x" * 120, "7", " ", " ", "@", "(AT)", "a_b", "."]) for _ in range(120))
+    seqs = pii.sequences(text)
+    flat = [t for s in seqs for t in s]
+    whole = set(pii.tokens(text))
+    assert all(t in whole for t in flat) and flat == sorted(set(flat), key=lambda t: t[1])
+    assert {t for t in whole if t[0] in "7@"} <= set(flat)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_taken_spans_against_all_pairs(seed):
+    r = random.Random(seed)
+    base = [(0, a, a + r.randint(1, 9)) for a in (r.randint(0, 90) for _ in range(8))]
+    starts, ends = pii.covered(base)
+    for a in range(100):
+        for b in range(a + 1, a + 6):
+            k = pii.bisect_left(starts, b)
+            assert bool(k and ends[k - 1] > a) == any(a < y and x < b for _, x, y in base)
+
+
+def test_long_sequences_are_linear():
+    for text in ("at-" * 100_000, "at " * 100_000, "at" + " " * 200_000, "x" * 400_000 + "1", "(" * 200_000):
+        pii.find([text], pii.model())
+
+
 def test_query_columns(spark):
     rows = [(1, "é x@y.zz +1 (269) 555-3296"), (2, None), (None, "1.2.3.4")]
     got = {x.doc_id: x for x in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
