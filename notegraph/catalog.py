@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from notegraph import model
 from notegraph.functions import columns
 from notegraph.model import C, D, G, KIND, V
-from notegraph.operators import fulltext, graph, history, links, query, store, sync, vectors, verify, writes
+from notegraph.operators import fulltext, graph, history, links, query, store, sync, vectors, verify, worker, writes
 from notegraph.operators.query import QuerySpec
 from notegraph.operators.store import Store
 from notegraph.plans.compile import Tables, compile_filter
@@ -742,6 +742,51 @@ def hs_retry_delay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _backlog(spark, sf_dir).select("version_id", history.retry_delay_s(F.col("attempts")).alias("delay"))
 
 
+_DRAIN_AT = "2024-01-02T00:00:00.000Z"
+
+
+@register(
+    "wr_worker",
+    f"""WITH {D}, b AS (SELECT id + k * 1000000000 AS version_id, CAST(id % 9 AS INTEGER) AS attempts,
+      CASE WHEN id % 3 = 0 THEN '2024-01-03T00:00:00.000Z' END AS next_retry_at, k FROM d, (VALUES (0), (1)) AS t(k) WHERE k = 0 OR id % 10 = 0),
+    f AS (SELECT b.*, next_retry_at IS NULL AND k = 0 AND contains(coalesce(body, ''), '@') AS failed FROM b LEFT JOIN d ON d.id = b.version_id)
+    SELECT version_id, CASE WHEN failed THEN attempts + 1 ELSE attempts END AS attempts,
+      CASE WHEN failed THEN strftime(TIMESTAMP '2024-01-02' + to_seconds(CAST(least(30 * pow(2, attempts), 3600) AS INTEGER)), '%Y-%m-%dT%H:%M:%S.%g') || 'Z'
+           ELSE next_retry_at END AS next_retry_at
+    FROM f WHERE failed OR next_retry_at IS NOT NULL""",
+)
+def wr_worker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The backlog after a drain with an embedder that refuses texts with an at-sign; one version in ten has a
+    second row of a version that isn't live."""
+    d = model.documents(spark, sf_dir)
+    waits = F.when(F.col("id") % 3 == 0, "2024-01-03T00:00:00.000Z")
+    row = lambda id_: [id_.alias("version_id"), (F.col("id") % 9).cast("int").alias("attempts"), F.lit(None).cast("string").alias("last_error"), waits.alias("next_retry_at")]
+    backlog = d.select(*row(F.col("id"))).unionByName(d.where("id % 10 = 0").select(*row(F.col("id") + 1_000_000_000)))
+    made = vectors.hash_embedder(4)
+
+    def picky(texts: list[str]) -> tuple[str, list[list[float]]]:
+        if any("@" in t for t in texts):
+            raise ValueError("refused")
+        return made(texts)
+
+    empty = spark.createDataFrame([], store.CHUNK_SCHEMA)
+    return worker.drain(d, empty, backlog, picky, _DRAIN_AT).backlog.select("version_id", "attempts", "next_retry_at")
+
+
+@register(
+    "hs_push",
+    f"""WITH {D}, l AS (SELECT path, CASE WHEN id % 5 = 0 THEN id + 1 ELSE id END AS version_id FROM d WHERE id % 4 <> 0),
+    k AS (SELECT path, id AS version_id FROM d WHERE id % 7 <> 0),
+    p AS (SELECT d.path, l.path IS NOT NULL AS present, l.version_id AS lv, k.version_id AS kv FROM d LEFT JOIN l USING (path) LEFT JOIN k USING (path) WHERE d.id % 3 <> 0)
+    SELECT path, CASE WHEN present THEN 'put' WHEN kv IS NULL THEN 'untracked' WHEN kv IN (SELECT lv FROM p WHERE present) THEN 'moved' ELSE 'delete' END AS action,
+      CASE WHEN present THEN lv ELSE kv END AS version_id, CASE WHEN present THEN 0 ELSE 1 END AS turn FROM p""",
+)
+def hs_push(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = model.documents(spark, sf_dir).select("id", "path")
+    local = d.where("id % 4 <> 0").select("path", F.when(F.col("id") % 5 == 0, F.col("id") + 1).otherwise(F.col("id")).alias("version_id"))
+    return sync.pushes(d.where("id % 3 <> 0"), local, d.where("id % 7 <> 0").select("path", F.col("id").alias("version_id")))
+
+
 # Scrub (VF). Conversations as chains with planted faults.
 
 _W = """w AS (SELECT conv_id * 1000 + turn AS id, conv_id AS document_id, CASE WHEN conv_id % 10 = 5 AND turn = 0 THEN 9 ELSE 0 END AS repo_id,

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import datetime as dt
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -53,9 +55,10 @@ def depths(versions: DataFrame) -> DataFrame:
     return at.select("id", "depth")
 
 
-def refs(versions: DataFrame, system: str = ":") -> DataFrame:
-    """Version references with the path before and the operation."""
-    before = versions.select(F.col("id").alias("prev_id"), F.col("path").alias("prev_path"))
+def refs(versions: DataFrame, system: str = ":", log: DataFrame | None = None) -> DataFrame:
+    """Version references with the path before and the operation. ``log``: where predecessors are, if not in
+    ``versions``."""
+    before = (versions if log is None else log).select(F.col("id").alias("prev_id"), F.col("path").alias("prev_path"))
     joined = versions.join(before, "prev_id", "left")
     return joined.withColumn("op", columns.operation(F.col("path"), F.col("prev_path"), system))
 
@@ -110,16 +113,17 @@ def feed(
 ) -> tuple[DataFrame, int]:
     """(settled references after the cursor, the next cursor). A page ends at the ``limit``-th match if
     another follows in the safe region, else at the frontier. A reference shows if either of its ends
-    is in scope."""
+    is in scope. A page has ``limit`` rows at most, so the log is searched for what they follow by a
+    broadcast of their ids and isn't shuffled."""
     upper = safe_upper(versions, after, now_ms, window_ms)
     rows = versions.where((F.col("id") > after) & (F.col("id") <= upper))
     mine = rows if repo_id is None else rows.where(F.col("repo_id") == repo_id)
     ids = [r.id for r in mine.select("id").orderBy("id").limit(limit + 1).collect()]
     if len(ids) > limit:
         upper = ids[limit - 1]
-    page = refs(versions).where((F.col("id") > after) & (F.col("id") <= upper))
-    if repo_id is not None:
-        page = page.where(F.col("repo_id") == repo_id)
+    page = mine.where(F.col("id") <= upper)
+    followed = page.where("prev_id IS NOT NULL").select(F.col("prev_id").alias("id"))
+    page = refs(page, log=F.broadcast(versions.join(F.broadcast(followed), "id", "left_semi")))
     seen = visibility.visible() | visibility.visible("repo_id", F.coalesce("prev_path", "path"))
     return page.where(seen).orderBy("id"), upper
 
@@ -145,6 +149,22 @@ def with_hashes(versions: DataFrame) -> DataFrame:
     return versions.withColumn("content_hash", F.coalesce("content_hash", own))
 
 
+# Seconds to the attempt after the first failure, and at most.
+RETRY_S, RETRY_MOST_S = 30.0, 3600.0
+
+
 def retry_delay_s(attempts):
     """Seconds to the next attempt: 30 doubling to an hour."""
-    return F.least(F.lit(30.0) * F.pow(F.lit(2.0), attempts - 1), F.lit(3600.0))
+    return F.least(F.lit(RETRY_S) * F.pow(F.lit(2.0), attempts - 1), F.lit(RETRY_MOST_S))
+
+
+def retry_at(now: str, attempts: Column) -> Column:
+    """The time of the next attempt after ``attempts`` failures, as text. The few delays there are become
+    literals, so the session's time zone doesn't matter."""
+    at = dt.datetime.fromisoformat(now).astimezone(dt.UTC)
+    text = lambda s: F.lit((at + dt.timedelta(seconds=s)).strftime("%Y-%m-%dT%H:%M:%S.%f")[:-3] + "Z")
+    out, n = F.when(attempts < 1, text(RETRY_S)), 1
+    while RETRY_S * 2 ** (n - 1) < RETRY_MOST_S:
+        out = out.when(attempts == n, text(RETRY_S * 2 ** (n - 1)))
+        n += 1
+    return out.otherwise(text(RETRY_MOST_S))

@@ -67,6 +67,29 @@ def bursts(changes: DataFrame, gap: str = "2 seconds") -> DataFrame:
     ).select("path", F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "n", "present")
 
 
+def pushes(burst: DataFrame, local: DataFrame, known: DataFrame) -> DataFrame:
+    """(path, action, version_id, turn): what a burst of changed paths pushes, what is present before what is not.
+
+    ``burst``: (path), repeats allowed; ``local``: (path, version_id), the files there are, by the version in
+    them; ``known``: (path, version_id), the last known remote state. A present path is put. Of the absent ones,
+    a path never tracked is left alone (untracked), one whose version another present file of the burst carries
+    was renamed (moved), and the others are deleted, as ``version_id`` of ``known``.
+    """
+    mine = local.groupBy("path").agg(F.max("version_id").alias("local_version"))
+    last = known.groupBy("path").agg(F.max("version_id").alias("known_version"))
+    paths = burst.select("path").distinct().join(mine.withColumn("present", F.lit(True)), "path", "left").join(last, "path", "left")
+    carried = paths.where("present AND local_version IS NOT NULL").select(F.col("local_version").alias("known_version")).distinct()
+    joined = paths.join(carried.withColumn("carried", F.lit(True)), "known_version", "left")
+    action = (
+        F.when(F.col("present"), "put")
+        .when(F.col("known_version").isNull(), "untracked")
+        .when(F.col("carried"), "moved")
+        .otherwise("delete")
+    )
+    version = F.when(F.col("present"), F.col("local_version")).otherwise(F.col("known_version"))
+    return joined.select("path", action.alias("action"), version.alias("version_id"), F.when(F.col("present"), 0).otherwise(1).alias("turn"))
+
+
 def net_effect(refs: DataFrame) -> DataFrame:
     """(document_id, path, prev_path, op, id): what applying the references in order comes to, by
     document: the first path before, and the last version."""

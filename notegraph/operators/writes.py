@@ -176,9 +176,12 @@ def enqueue(backlog: DataFrame, waiting: DataFrame) -> DataFrame:
     return both.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_new", "_r")
 
 
+def due(backlog: DataFrame, now: str) -> DataFrame:
+    return backlog.where(F.col("next_retry_at").isNull() | (F.col("next_retry_at") <= now))
+
+
 def dequeue(backlog: DataFrame, now: str, limit: int) -> DataFrame:
-    due = backlog.where(F.col("next_retry_at").isNull() | (F.col("next_retry_at") <= now))
-    return due.orderBy(F.asc_nulls_first("next_retry_at"), "version_id").limit(limit)
+    return due(backlog, now).orderBy(F.asc_nulls_first("next_retry_at"), "version_id").limit(limit)
 
 
 def backlog_status(backlog: DataFrame, now: str) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from notegraph.errors import EngineError
-from notegraph.operators import fulltext, graph, history, links, query, store, sync, vectors, verify, writes
+from notegraph.operators import fulltext, graph, history, links, query, store, sync, vectors, verify, worker, writes
 from notegraph.operators.query import QuerySpec
 from notegraph.operators.store import live
 from notegraph.plans.visibility import Claim, Visibility
@@ -404,3 +404,71 @@ def test_lanes_past_the_digest_differ():
 
     _, [v] = hash_embedder(96)(["text"])
     assert v[:32] != v[32:64] != v[64:] and abs(sum(x * x for x in v) - 1) < 1e-9
+
+
+def embedders(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def named(model):
+        def embed(texts):
+            calls.add(len(texts))
+            if any("fails" in t for t in texts):
+                raise RuntimeError("no answer " * 100)
+            return model, vectors.hash_embedder(4)(texts)[1]
+
+        return embed
+
+    return calls, named
+
+
+def test_worker_drains_the_backlog(spark):
+    calls, named = embedders(spark)
+    two = "one text\n\n## Head\n\n" + "long " * 500
+    v, made = writes.apply(nothing(spark), 1, [writes.Op("create", "a.md", two), writes.Op("create", "b.md", "fails here"), writes.Op("create", "c.md", " ")])
+    v, (later,) = writes.apply(v, 1, [writes.Op("put", "a.md", two + "\n\n## More\n\nnew", prev=made[0])])
+    v = spark.createDataFrame(v.collect(), v.schema)
+    empty = spark.createDataFrame([], store.CHUNK_SCHEMA)
+    waiting = spark.createDataFrame([(made[0], 0, None, None), (made[1], 2, "e", "2026-01-01T00:00:00.000Z"), (made[2], 0, None, None), (later, 0, None, "2027-01-01T00:00:00.000Z")], store.BACKLOG_SCHEMA)
+    got = worker.drain(live(v), empty, waiting, named("m"), "2026-01-02T00:00:00.000Z")
+    assert {r.version_id: r.outcome for r in got.outcomes.collect()} == {made[0]: "skipped", made[1]: "failed", made[2]: "processed"}
+    left = {r.version_id: r for r in got.backlog.collect()}
+    assert set(left) == {made[1], later} and left[later].attempts == 0
+    again = left[made[1]]
+    assert (again.attempts, again.next_retry_at, len(again.last_error)) == (3, "2026-01-02T00:02:00.000Z", 500)
+    assert got.chunks.count() == 0
+
+    # What the predecessor has is reused; only the new text goes to the embedder.
+    old = vectors.chunked(live(v.where(F.col("id") <= made[2])).where(F.col("id") == made[0]))
+    old = vectors.embed(old, empty, vectors.hash_embedder(4), "m")
+    old = spark.createDataFrame(old.collect(), old.schema)
+    before = calls.value
+    rest = got.backlog.where(F.col("version_id") == later)
+    now = worker.drain(live(v), old, rest, named("m"), "2027-01-02T00:00:00.000Z", 1)
+    fresh = now.chunks.where(F.col("version_id") == later)
+    assert fresh.count() == old.count() + 1 and calls.value == before + 1
+    assert now.backlog.count() == 0 and now.chunks.count() == fresh.count() + old.count()
+
+    # An answer of another model embeds every text again.
+    other = worker.drain(live(v), old, rest, named("n"), "2027-01-02T00:00:00.000Z")
+    assert {r.model for r in other.chunks.where(F.col("version_id") == later).collect()} == {"n"} and other.backlog.count() == 0
+
+
+def test_retry_times(spark):
+    rows = spark.createDataFrame([(n,) for n in range(1, 12)], "n int")
+    got = [r[0] for r in rows.orderBy("n").select(history.retry_at("2026-01-01T00:00:00.000Z", F.col("n"))).collect()]
+    assert got[:3] == ["2026-01-01T00:00:30.000Z", "2026-01-01T00:01:00.000Z", "2026-01-01T00:02:00.000Z"]
+    assert got[6] == "2026-01-01T00:32:00.000Z" and set(got[7:]) == {"2026-01-01T01:00:00.000Z"}
+
+
+def test_pushes_put_before_deletes_and_know_renames(spark):
+    burst = spark.createDataFrame([("new.md",), ("old.md",), ("gone.md",), ("never.md",), ("edit.md",), ("old.md",)], "path string")
+    local = spark.createDataFrame([("new.md", 5), ("edit.md", 7), ("else.md", 9)], "path string, version_id long")
+    known = spark.createDataFrame([("old.md", 5), ("gone.md", 9), ("edit.md", 7)], "path string, version_id long")
+    got = {r.path: (r.action, r.version_id, r.turn) for r in sync.pushes(burst, local, known).collect()}
+    assert got == {"new.md": ("put", 5, 0), "edit.md": ("put", 7, 0), "old.md": ("moved", 5, 1), "gone.md": ("delete", 9, 1), "never.md": ("untracked", None, 1)}
+
+
+def test_a_feed_page_does_not_shuffle_the_log(spark, base):
+    page, _ = history.feed(base.versions, 0, 10**15)
+    plan = page._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan
