@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from notegraph import model
+from notegraph.config import PathConfig
 from notegraph.functions import columns
 from notegraph.model import C, D, G, KIND, V
-from notegraph.operators import fulltext, graph, history, links, query, store, sync, vectors, verify, worker, writes
+from notegraph.operators import fulltext, graph, guard, history, links, query, store, sync, vectors, verify, worker, writes
 from notegraph.operators.query import QuerySpec
 from notegraph.operators.store import Store
 from notegraph.plans.compile import Tables, compile_filter
@@ -435,13 +436,16 @@ def fn_chunker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.chunked(model.documents(spark, sf_dir).withColumn("body", body)).select("version_id", "ix", "text_hash")
 
 
-@register("vs_embed_reuse", "SELECT text AS t, count(*) AS n FROM documents GROUP BY text HAVING length(t) BETWEEN 1 AND 200 AND NOT contains(t, chr(10)) AND trim(t) = t")
+@register(
+    "vs_embed_reuse",
+    "SELECT doc_id AS version_id, CASE WHEN coalesce(text, '') IN (SELECT coalesce(text, '') FROM documents WHERE doc_id % 2 = 0) THEN 1 ELSE 8 END AS n FROM documents",
+)
 def vs_embed_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    short = model.documents(spark, sf_dir).where("length(body) BETWEEN 1 AND 200 AND NOT contains(body, '\n') AND trim(body) = body")
-    cut = vectors.chunked(short)
-    known = spark.createDataFrame([], store.CHUNK_SCHEMA)
-    done = vectors.embed(cut, known, vectors.hash_embedder(), "hash")
-    return done.groupBy(F.col("text").alias("t")).agg(F.count("embedding").alias("n"))
+    """Texts that a document of even number holds are known, by vectors of one lane; the others are embedded in eight."""
+    body = F.coalesce("body", F.lit(""))
+    whole = model.documents(spark, sf_dir).select(F.col("id").alias("version_id"), F.lit(0).alias("ix"), body.alias("text"), F.sha2(body, 256).alias("text_hash"))
+    known = whole.where("version_id % 2 = 0").select("*", F.lit("hash").alias("model"), F.array(F.lit(1.0).cast("float")).alias("embedding"))
+    return vectors.embed(whole, known, vectors.hash_embedder(), "hash").select("version_id", F.size("embedding").alias("n"))
 
 
 # History and feed (HS)
@@ -787,6 +791,84 @@ def hs_push(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.pushes(d.where("id % 3 <> 0"), local, d.where("id % 7 <> 0").select("path", F.col("id").alias("version_id")))
 
 
+# Configuration, guard, writes
+
+
+@register(
+    "fp_repo_sigils",
+    f"""WITH {D} SELECT id AS document_id FROM d WHERE CASE repo_id
+      WHEN 1 THEN NOT starts_with(path, 'fr') AND NOT contains(path, '/fr') AND NOT starts_with(path, ':')
+      WHEN 2 THEN NOT starts_with(path, '.') AND NOT starts_with(path, 'es') AND NOT contains(path, '/es') AND NOT starts_with(path, ':')
+      ELSE NOT starts_with(path, '.') AND NOT starts_with(path, ':') END""",
+)
+def fp_repo_sigils(spark: SparkSession, sf_dir: str) -> DataFrame:
+    repos = writes.Repos([])
+    for slug, own in (("one", {"hidden_sigils": ["fr"]}), ("two", {"system_sigils": [":", "es"]})):
+        repos.create(slug)
+        repos.configure(slug, path_config=own)
+    return model.documents(spark, sf_dir).where(repos.visibility().visible()).select("document_id")
+
+
+@register("wr_path_warnings", f"WITH {D} SELECT id, path, 'character 9' AS reason FROM d WHERE contains(path, '9') AND NOT starts_with(path, ':')")
+def wr_path_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return writes.path_warnings(model.documents(spark, sf_dir), PathConfig(disallowed_chars=("9", "?")))
+
+
+@register(
+    "sh_writable",
+    f"""WITH {D} SELECT id, starts_with(path, ':') OR (repo_id = 0 AND starts_with(path, 'en/') AND NOT starts_with(path, 'en/src1/'))
+      OR (repo_id = 1 AND ends_with(path, '7.md')) AS writable FROM d""",
+)
+def sh_writable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    roles = {"r": {"grants": [{"repo": "al*", "write": ["en/**", "!en/src1/**"]}, {"repo": ["beta"], "write": "*7.md", "read": "**"}]}}
+    own = guard.entitlement({"roles": roles, "principals": {"p": {"author": "p", "roles": ["r"]}}}, "p")
+    may = guard.writable(own, {0: "alpha", 1: "beta", 2: "gamma"}, F.col("repo_id"), F.col("path"))
+    return model.documents(spark, sf_dir).select("id", may.alias("writable"))
+
+
+@register(
+    "wr_replay",
+    f"""WITH {D}, m AS (SELECT max(id) AS v FROM d), o AS (SELECT * FROM d WHERE id = 8)
+    SELECT id, id AS document_id, path, author FROM (SELECT d.*, source AS author FROM d) WHERE id NOT IN (8, 9)
+    UNION ALL SELECT v + 1, v + 1, 'zz/new.md', 'anonymous' FROM m
+    UNION ALL SELECT v + 3, 8, 'zz/moved.md', 'me' FROM m
+    UNION ALL SELECT v + 4, 9, ':deleted/' || replace(path, '9.md', '9-v9.md'), 'anonymous' FROM m, d WHERE id = 9""",
+)
+def wr_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The live rows after a creation, two writes of one document, of which the second moves it, and a deletion."""
+    d = model.documents(spark, sf_dir)
+    at = {r.id: r.path for r in d.where("id IN (8, 9)").select("id", "path").collect()}
+    top = d.agg(F.max("id")).first()[0]
+    mine = [
+        writes.Op("put", at[8], "one", prev=8),
+        writes.Op("put", at[8], "two", prev=top + 2, new_path="zz/moved.md", author="me"),
+    ]
+    log, _ = writes.apply(d, 0, [writes.Op("create", "zz/new.md", "new")])
+    log, _ = writes.apply(log, 8 % 3, mine)
+    log, _ = writes.apply(log, 9 % 3, [writes.Op("delete", at[9])])
+    return store.live(log).select("id", "document_id", "path", "author")
+
+
+@register(
+    "ln_syntaxes",
+    f"""WITH {D}, e AS (SELECT id AS source_id, unnest([
+      {{'ord': 0, 'field': '$body', 'target_raw': 'w/p' || (id % 50) || '.md#s'}}, {{'ord': 1, 'field': '$body', 'target_raw': 'x/' || id || '.md'}},
+      {{'ord': 2, 'field': '$body', 'target_raw': regexp_replace(path, '[^/]*/[^/]*$', '') || 'k.md'}},
+      {{'ord': 3, 'field': 'rel', 'target_raw': 'y/' || (id % 3) || '.md'}}, {{'ord': 4, 'field': 'sub.l', 'target_raw': 'w/q.md'}}]) AS e FROM d)
+    SELECT source_id, e.ord AS ord, e.field AS field, e.target_raw AS target_raw FROM e""",
+)
+def ln_syntaxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A wikilink, a written path, a reference, and both of those ways in front matter, amid code that holds none."""
+    id_ = F.col("id").cast("string")
+    body = F.concat(
+        F.lit("![[w/p"), (F.col("id") % 50).cast("string"), F.lit("#s|shown]] `[[no]]` and /x/"), id_,
+        F.lit(".md, [k][r]\n\n```\n[no](no.md) /no.md\n```\n\n[r]: ../k.md 'K'\n"),
+    )
+    meta = F.concat(F.lit('{"rel":" /y/'), (F.col("id") % 3).cast("string"), F.lit('.md","sub":{"l":["see [[w/q]]",3,"/a b.md"]}}'))
+    d = model.documents(spark, sf_dir).withColumns({"body": body, "frontmatter": F.parse_json(meta)})
+    return links.extracted(d).select("source_id", "ord", "field", "target_raw")
+
+
 # Scrub (VF). Conversations as chains with planted faults.
 
 _W = """w AS (SELECT conv_id * 1000 + turn AS id, conv_id AS document_id, CASE WHEN conv_id % 10 = 5 AND turn = 0 THEN 9 ELSE 0 END AS repo_id,

@@ -15,6 +15,7 @@ from functools import lru_cache
 
 import yaml
 
+from notegraph.config import RESERVED, PathConfig
 from notegraph.errors import EngineError
 
 FENCE = "---\n"
@@ -118,35 +119,25 @@ def file_hash(text: str) -> str:
 
 # Paths
 
-# Fixed values.
-RESERVED = (".", "..", "")
-FORBIDDEN = frozenset('\\<>"|?*') | {chr(c) for c in range(32)}
+SLUG = 64
 
 
-def exact_path(path: str, system: str = ":") -> str:
+def exact_path(path: str, config: PathConfig = PathConfig()) -> str:
     """A document path as written by a caller, one leading slash allowed."""
     if "\\" in path:
         raise EngineError("path_invalid", "backslash in path", path=path)
     if path.startswith("//") or path == "/":
         raise EngineError("path_invalid", "empty segment", path=path)
     path = path.removeprefix("/")
-    check_path(path, system)
+    config.check(path)
     return path
 
 
-def check_path(path: str, system: str = ":") -> None:
-    for segment in path.split("/"):
-        if segment in RESERVED:
-            raise EngineError("path_invalid", f"reserved segment {segment!r}", path=path)
-        if segment.startswith(system):
-            raise EngineError("path_invalid", f"segment {segment!r} is in the system's namespace", path=path)
-        bad = next((c for c in segment if c in FORBIDDEN), None)
-        if bad:
-            raise EngineError("path_invalid", f"character {bad!r} in {segment!r}", path=path)
-
-
-def check_slug(slug: str) -> None:
-    if not 1 <= len(slug) <= 64 or "/" in slug or slug in RESERVED or slug[0] in ".:" or any(c in FORBIDDEN for c in slug):
+def check_slug(slug: str, config: PathConfig = PathConfig()) -> None:
+    """A slug is one segment under the server's configuration, without sigils, control characters or outer space."""
+    sigils = (*config.system_sigils, *config.hidden_sigils)
+    bad = any(c in config.disallowed_chars or c == "/" or c < " " or c == "\x7f" for c in slug)
+    if bad or slug in RESERVED or len(slug) > SLUG or slug != slug.strip() or slug.startswith(sigils):
         raise EngineError("slug_invalid", f"bad slug {slug!r}")
 
 

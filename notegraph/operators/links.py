@@ -7,7 +7,7 @@ import posixpath
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,24 +15,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from notegraph.config import LinkConfig, Syntaxes
 from notegraph.functions.columns import fold_path
 from notegraph.functions.text import units
 
 BODY = "$body"
 
 
-@dataclass(frozen=True)
-class LinkConfig:
-    inline: bool = True
-    reference: bool = True
-    wikilink: bool = True
-    fullpath: bool = True
-    elision: bool = True
-    anchors: bool = True
-    index_name: str = "index"
-    frontmatter: bool = field(default=True)
-
-
 @dataclass(frozen=True)
 class Edge:
     field: str
@@ -153,7 +142,7 @@ def _destination(text: str, at: int) -> tuple[str, int, int, int] | None:
     return (text[start:end], start, end, m.end()) if m else None
 
 
-def _markdown(text: str, code: Ranges, config: LinkConfig, wiki: list[tuple[int, int]]) -> list[tuple[int, Edge]]:
+def _markdown(text: str, code: Ranges, config: Syntaxes, wiki: list[tuple[int, int]]) -> list[tuple[int, Edge]]:
     known: dict[str, tuple[str, int, int]] = {}
     defined: list[tuple[int, int]] = []
     for m in _DEFINITION.finditer(text):
@@ -239,7 +228,7 @@ def _is_path(value: str) -> bool:
     return "\n" not in value and page.startswith("/") and page.endswith(PAGE) and len(page) > 1 + len(PAGE) and not any(c.isspace() for c in page)
 
 
-def _scan(text: str, config: LinkConfig, paths: bool) -> list[Edge]:
+def _scan(text: str, config: Syntaxes, paths: bool) -> list[Edge]:
     code = Ranges(code_ranges(text))
     wiki = _wikilinks(text, code) if config.wikilink else []
     hits = [(a, e) for a, _, e in wiki] + _markdown(text, code, config, [(a, b) for a, b, _ in wiki])
@@ -256,15 +245,16 @@ def _scan(text: str, config: LinkConfig, paths: bool) -> list[Edge]:
 
 def extract(body: str, frontmatter: object, config: LinkConfig = LinkConfig()) -> list[Edge]:
     """Edges of the body in order, then those of front matter strings under their dotted key paths."""
-    out = _scan(body, config, True)
+    out = _scan(body, config.body, True)
+    own = config.frontmatter
 
     def walk(node: object, path: list[str]) -> None:
         if isinstance(node, str):
             name = ".".join(path)
-            if config.fullpath and _is_path(node.strip()):
+            if own.fullpath and _is_path(node.strip()):
                 out.append(Edge(name, node.strip(), False))
             else:
-                out.extend(Edge(name, e.target, e.wiki) for e in _scan(node, config, False))
+                out.extend(Edge(name, e.target, e.wiki) for e in _scan(node, own, False))
         elif isinstance(node, list):
             for x in node:
                 walk(x, path)
@@ -272,8 +262,7 @@ def extract(body: str, frontmatter: object, config: LinkConfig = LinkConfig()) -
             for key, x in node.items():
                 walk(x, [*path, str(key)])
 
-    if config.frontmatter:
-        walk(frontmatter, [])
+    walk(frontmatter, [])
     return out
 
 
@@ -309,24 +298,34 @@ EDGE_SCHEMA = T.ArrayType(
 )
 
 
-def edges_udf(config: LinkConfig = LinkConfig()):
+Configs = LinkConfig | dict[int, LinkConfig]
+
+
+def config_of(configs: Configs, repo: int | None) -> LinkConfig:
+    """The configuration of a repository: the only one, or its own among ``configs``, or the default."""
+    return configs if isinstance(configs, LinkConfig) else configs.get(repo, LinkConfig())
+
+
+def edges_udf(configs: Configs = LinkConfig()):
     @F.pandas_udf(EDGE_SCHEMA)
-    def edges(path: pd.Series, body: pd.Series, frontmatter: pd.Series) -> pd.Series:
-        def one(p: str, b: str | None, f: str | None) -> list[dict]:
+    def edges(repo: pd.Series, path: pd.Series, body: pd.Series, frontmatter: pd.Series) -> pd.Series:
+        def one(r: int | None, p: str, b: str | None, f: str | None) -> list[dict]:
             out = []
+            config = config_of(configs, r)
             for i, e in enumerate(extract(b or "", json.loads(f) if f else {}, config)):
                 raw, found = targets(e, p, config)
                 out.append({"ord": i, "field": e.field, "target_raw": raw, "candidates": found, "start": e.start, "end": e.end, "wiki": e.wiki})
             return out
 
-        return pd.Series([one(*x) for x in zip(path, body, frontmatter, strict=True)])
+        return pd.Series([one(*x) for x in zip(repo, path, body, frontmatter, strict=True)])
 
     return edges
 
 
-def extracted(live: DataFrame, config: LinkConfig = LinkConfig()) -> DataFrame:
-    """(repo_id, source_id, path, ord, field, target_raw, candidates, start, end, wiki) without external targets."""
-    found = edges_udf(config)(F.col("path"), F.col("body"), F.to_json("frontmatter"))
+def extracted(live: DataFrame, configs: Configs = LinkConfig()) -> DataFrame:
+    """(repo_id, source_id, path, ord, field, target_raw, candidates, start, end, wiki) without external targets.
+    ``configs``: one for all, or one a repository (``writes.Repos.links``)."""
+    found = edges_udf(configs)(F.col("repo_id"), F.col("path"), F.col("body"), F.to_json("frontmatter"))
     return (
         live.select("repo_id", F.col("document_id").alias("source_id"), "path", F.explode(found).alias("e"))
         .select("repo_id", "source_id", "path", "e.*")
@@ -351,10 +350,16 @@ def resolved(edges: DataFrame, live: DataFrame) -> DataFrame:
     return rows.select("repo_id", "source_id", dense.cast("int").alias("ord"), "field", "target_raw", "target_norm", "target_id")
 
 
-def backfill(live: DataFrame, config: LinkConfig = LinkConfig()) -> DataFrame:
+def backfill(live: DataFrame, configs: Configs = LinkConfig()) -> DataFrame:
     """The whole links table, derived again."""
     readable = live.where(~F.col("path").startswith(":"))
-    return resolved(extracted(readable, config), live)
+    return resolved(extracted(readable, configs), live)
+
+
+def reindexed(links: DataFrame, live: DataFrame, repo: int, config: LinkConfig) -> DataFrame:
+    """``links`` with those of one repository read again, as after its configuration has changed."""
+    own = live.where(F.col("repo_id") == repo)
+    return links.where(~F.col("repo_id").eqNullSafe(F.lit(repo))).unionByName(backfill(own, config).select(*links.columns))
 
 
 def replaced(links: DataFrame, fresh: DataFrame, sources: DataFrame) -> DataFrame:
@@ -408,20 +413,21 @@ def repaired(body: str, edges: list[dict], config: LinkConfig = LinkConfig()) ->
     return body
 
 
-def repair(store_live: DataFrame, links: DataFrame, config: LinkConfig = LinkConfig()) -> DataFrame:
+def repair(store_live: DataFrame, links: DataFrame, configs: Configs = LinkConfig()) -> DataFrame:
     """(source_id, path, body): the bodies of documents with stale links, rewritten. Stored rows are
     matched to written ones by target, not by place: a link of a document to itself holds no place."""
     old = stale(links, store_live).where(F.col("field") == BODY).select("source_id", "target_raw", "current_path").distinct()
-    spans = extracted(store_live, config).where(F.col("field") == BODY)
+    spans = extracted(store_live, configs).where(F.col("field") == BODY)
     joined = spans.join(old, ["source_id", "target_raw"])
     fixes = joined.groupBy("source_id").agg(F.collect_list(F.struct("start", "end", "wiki", "current_path")).alias("edges"))
-    bodies = store_live.select(F.col("document_id").alias("source_id"), "path", "body").join(fixes, "source_id")
+    bodies = store_live.select("repo_id", F.col("document_id").alias("source_id"), "path", "body").join(fixes, "source_id")
 
     @F.pandas_udf("string")
-    def fixed(body: pd.Series, edges: pd.Series) -> pd.Series:
-        return pd.Series([repaired(b, [dict(e) for e in es], config) for b, es in zip(body, edges, strict=True)])
+    def fixed(repo: pd.Series, body: pd.Series, edges: pd.Series) -> pd.Series:
+        rows = zip(repo, body, edges, strict=True)
+        return pd.Series([repaired(b, [dict(e) for e in es], config_of(configs, r)) for r, b, es in rows])
 
-    return bodies.select("source_id", "path", fixed("body", "edges").alias("body"))
+    return bodies.select("source_id", "path", fixed("repo_id", "body", "edges").alias("body"))
 
 
 def utf16_span(body: str, start: int, end: int) -> tuple[int, int]:

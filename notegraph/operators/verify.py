@@ -158,14 +158,14 @@ def chunk_checks(versions: DataFrame, chunks: DataFrame, backlog: DataFrame | No
     return out
 
 
-def link_checks(versions: DataFrame, links: DataFrame, config: link_ops.LinkConfig = link_ops.LinkConfig(), extract: bool = True) -> list[DataFrame]:
+def link_checks(versions: DataFrame, links: DataFrame, configs: link_ops.Configs = link_ops.LinkConfig(), extract: bool = True) -> list[DataFrame]:
     now = live(versions)
     out = []
     ids = {"repo_id": "repo_id", "document_id": "source_id"}
     name = F.concat_ws(" ", "ord", "field", "target_raw")
     if extract:
         key = ["repo_id", "source_id", "ord", "field", "target_raw"]
-        derived = link_ops.backfill(now, config).select(key)
+        derived = link_ops.backfill(now, configs).select(key)
         stored = links.select(key)
         for way, diff in (("missing", derived.exceptAll(stored)), ("extra", stored.exceptAll(derived))):
             out.append(finding(diff, "links.set_mismatch", F.concat(F.lit(way + " "), name), **ids))

@@ -8,17 +8,20 @@ import os
 import shutil
 import uuid
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from notegraph.config import PathConfig
 from notegraph.errors import EngineError
 from notegraph.functions import text
 from notegraph.operators.store import VERSION_SCHEMA, by_path, by_paths, live
-from notegraph.plans.visibility import has_sigil
+from notegraph.operators.links import LinkConfig
+from notegraph.plans.visibility import Visibility, has_sigil
 
+ANONYMOUS = "anonymous"
 GET_MANY, RETRIES = 50, 5
 
 
@@ -33,7 +36,7 @@ class Op:
     frontmatter: dict | None = None
     prev: int | None = None
     new_path: str | None = None
-    author: str = "anonymous"
+    author: str = ANONYMOUS
 
 
 def raw_of(op: Op) -> str:
@@ -97,15 +100,18 @@ def get_version(versions: DataFrame, ref: str, repo: int | None = None) -> Row:
     return found[0]
 
 
-def apply(versions: DataFrame, repo: int, ops: Sequence[Op], at: str | None = None) -> tuple[DataFrame, list[int]]:
-    """``versions`` with the writes appended, all or none, and the id of each op's version.
+def apply(
+    versions: DataFrame, repo: int, ops: Sequence[Op], at: str | None = None, paths: PathConfig = PathConfig()
+) -> tuple[DataFrame, list[int]]:
+    """``versions`` with the writes appended, all or none, and the id of each op's version. ``paths``: the
+    configuration in effect in the repository (``Repos.paths``).
 
     Ops are few and come from callers; the live rows they touch are fetched at once by key. Later ops
     see earlier ones.
     """
     spark = versions.sparkSession
     at = at or now_text()
-    touched = {text.fold(text.exact_path(p)) for o in ops for p in (o.path, o.new_path) if p}
+    touched = {text.fold(text.exact_path(p, paths)) for o in ops for p in (o.path, o.new_path) if p}
     now = live(versions)
     held = {r.path_norm: r.asDict() for r in now.where((F.col("repo_id") == repo) & F.col("path_norm").isin(sorted(touched))).collect()}
     top = versions.agg(F.max("id").alias("v"), F.max("document_id").alias("d")).first()
@@ -113,7 +119,7 @@ def apply(versions: DataFrame, repo: int, ops: Sequence[Op], at: str | None = No
     rows: list[dict] = []
     ids: list[int] = []
     for o in ops:
-        path = text.exact_path(o.path)
+        path = text.exact_path(o.path, paths)
         key = text.fold(path)
         current = held.get(key)
         if o.kind == "create":
@@ -126,7 +132,7 @@ def apply(versions: DataFrame, repo: int, ops: Sequence[Op], at: str | None = No
                 raise EngineError("doc_not_found", path)
             if o.prev != current["id"]:
                 raise EngineError("stale_prev", path, current=current["id"])
-            to = text.exact_path(o.new_path) if o.new_path else current["path"]
+            to = text.exact_path(o.new_path, paths) if o.new_path else current["path"]
             if text.fold(to) != key and text.fold(to) in held:
                 raise EngineError("path_taken", to)
             row = version_row(next_id, current["document_id"], repo, current["id"], to, raw_of(o), o.body, o.author, at)
@@ -140,7 +146,7 @@ def apply(versions: DataFrame, repo: int, ops: Sequence[Op], at: str | None = No
                 continue
             if o.prev is not None and o.prev != current["id"]:
                 raise EngineError("stale_prev", path, current=current["id"])
-            to = text.deleted_path(current["path"], current["id"])
+            to = text.deleted_path(current["path"], current["id"], paths.system_sigils[0])
             row = version_row(next_id, current["document_id"], repo, current["id"], to, current["frontmatter_raw"], current["body"], o.author, at)
         else:
             raise EngineError("unknown_arg", f"kind {o.kind!r}")
@@ -200,9 +206,11 @@ def last_errors(backlog: DataFrame, n: int = 5) -> DataFrame:
 
 @dataclass
 class Repos:
-    """Repositories: a table of a few rows, kept by the driver."""
+    """Repositories: a table of a few rows, kept by the driver, under the server's configuration."""
 
     rows: list[dict]
+    server_paths: PathConfig = PathConfig()
+    server_links: LinkConfig = LinkConfig()
 
     def get(self, slug: str) -> dict:
         found = next((r for r in self.rows if r["slug_norm"] == text.fold(slug)), None)
@@ -211,7 +219,7 @@ class Repos:
         return found
 
     def create(self, slug: str, at: str | None = None) -> dict:
-        text.check_slug(slug)
+        text.check_slug(slug, self.server_paths)
         if any(r["slug_norm"] == text.fold(slug) for r in self.rows):
             raise EngineError("slug_taken", slug)
         row = {"id": max((r["id"] for r in self.rows), default=0) + 1, "slug": slug, "slug_norm": text.fold(slug), "path_config": None, "link_config": None, "created_at": at or now_text()}
@@ -220,7 +228,7 @@ class Repos:
 
     def rename(self, slug: str, new: str) -> dict:
         row = self.get(slug)
-        text.check_slug(new)
+        text.check_slug(new, self.server_paths)
         if any(r is not row and r["slug_norm"] == text.fold(new) for r in self.rows):
             raise EngineError("slug_taken", new)
         row |= {"slug": new, "slug_norm": text.fold(new)}
@@ -228,29 +236,46 @@ class Repos:
 
     def delete(self, slug: str) -> dict:
         row = self.get(slug)
-        row["slug"] = f":deleted-{row['slug']}-{row['id']}"
+        row["slug"] = f"{self.server_paths.system_sigils[0]}deleted-{row['slug']}-{row['id']}"
         row["slug_norm"] = text.fold(row["slug"])
         return row
 
-    def configure(self, slug: str, **config: dict) -> dict:
+    def configure(self, slug: str, **config: dict | None) -> dict:
+        """Store a path or link configuration, or take it away (None). Of a bad one nothing is stored.
+        ``path_warnings`` tells what the new one refuses, ``links.reindexed`` reads links again under it."""
         row = self.get(slug)
-        row |= {k: json.dumps(v) for k, v in config.items() if k in ("path_config", "link_config")}
+        own = {k: v if v is None else json.dumps(v) for k, v in config.items() if k in ("path_config", "link_config")}
+        self.server_paths.layered(own.get("path_config"))
+        self.server_links.layered(own.get("link_config"))
+        row |= own
         return row
 
+    def paths(self, slug: str) -> PathConfig:
+        return self.server_paths.layered(self.get(slug)["path_config"])
+
+    def links(self) -> dict[int, LinkConfig]:
+        """The link configuration in effect, by repository."""
+        return {r["id"]: self.server_links.layered(r["link_config"]) for r in self.rows}
+
+    def visibility(self, seen: Visibility = Visibility()) -> Visibility:
+        """``seen`` with the sigils and slugs of the repositories."""
+        own = {r["id"]: self.server_paths.layered(r["path_config"]) for r in self.rows}
+        return replace(seen, sigils={i: (c.hidden_sigils, c.system_sigils) for i, c in own.items()}, slugs={r["id"]: r["slug"] for r in self.rows})
+
     def frame(self, spark: SparkSession) -> DataFrame:
         schema = "id long, slug string, slug_norm string, path_config string, link_config string, created_at string"
         return spark.createDataFrame([tuple(r[n.split()[0]] for n in schema.split(", ")) for r in self.rows], schema)
 
 
-def path_warnings(live_rows: DataFrame, hidden: str = ".", system: str = ":", forbidden: str = "") -> DataFrame:
-    """(path, reason) of live documents that a new path configuration would hide or refuse."""
-    bad = F.lit(False)
-    for c in forbidden:
-        bad = bad | F.col("path").contains(c)
-    reason = (
-        F.when(has_sigil(F.col("path"), system), "system").when(has_sigil(F.col("path"), hidden), "hidden").when(bad, "character")
-    )
-    return live_rows.select("path", reason.alias("reason")).where("reason IS NOT NULL")
+def path_warnings(live_rows: DataFrame, config: PathConfig = PathConfig()) -> DataFrame:
+    """(id, path, reason) of live documents, but those of the system, whose path ``config`` would refuse. They are
+    neither hidden nor changed."""
+    path = F.col("path")
+    reason = F.when(path.rlike(r"(^|/)(\.{0,2})(/|$)"), "reserved segment")
+    for c in config.disallowed_chars:
+        reason = reason.when(path.contains(c), f"character {c}")
+    own = live_rows.where(~has_sigil(path, config.system_sigils))
+    return own.select("id", "path", reason.alias("reason")).where("reason IS NOT NULL")
 
 
 def commit(tables: dict[str, DataFrame], root: str) -> str:

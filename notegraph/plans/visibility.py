@@ -33,9 +33,12 @@ def matches_any(path: Column, globs: Iterable[str]) -> Column:
     return found
 
 
-def has_sigil(path: Column, sigil: str) -> Column:
-    """Whether any segment starts with ``sigil``."""
-    return path.startswith(sigil) | path.contains("/" + sigil)
+def has_sigil(path: Column, sigils: str | Iterable[str]) -> Column:
+    """Whether any segment starts with the sigil, or one of several."""
+    found = F.lit(False)
+    for s in [sigils] if isinstance(sigils, str) else sigils:
+        found = found | path.startswith(s) | path.contains("/" + s)
+    return found
 
 
 def slug_matches(slug: str, pattern: str) -> bool:
@@ -58,6 +61,16 @@ def claim_allows(path: Column, globs: Iterable[str]) -> Column:
     return allowed
 
 
+def allows(claims: Iterable[Claim], slug: str, path: str) -> bool:
+    """Whether one of ``claims`` covers one path, as ``Visibility.scope`` decides it for rows."""
+    for c in claims:
+        if any(slug_matches(slug, p) for p in c.repos):
+            last = next((g for g in reversed(c.globs) if re.search(glob_to_regex(g.removeprefix("!")), path)), "!")
+            if not last.startswith("!"):
+                return True
+    return False
+
+
 @dataclass(frozen=True)
 class Visibility:
     """``claims``: None allows all, an empty tuple denies all. ``sigils``: by repository, the segments
@@ -66,7 +79,7 @@ class Visibility:
     claims: tuple[Claim, ...] | None = None
     include_hidden: bool = False
     include_system: bool = False
-    sigils: dict[int, tuple[str, str]] = field(default_factory=dict)
+    sigils: dict[int, tuple[str | tuple[str, ...], str | tuple[str, ...]]] = field(default_factory=dict)
     slugs: dict[int, str] = field(default_factory=dict)
 
     def scope(self, repo_id: Column, path: Column) -> Column:
@@ -80,7 +93,7 @@ class Visibility:
         return out
 
     def unhidden(self, repo_id: Column, path: Column) -> Column:
-        def seen(hidden: str, system: str) -> Column:
+        def seen(hidden: str | tuple[str, ...], system: str | tuple[str, ...]) -> Column:
             out = F.lit(True)
             if not self.include_hidden:
                 out = out & ~has_sigil(path, hidden)

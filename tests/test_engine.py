@@ -1,13 +1,16 @@
 """Operators over a small collection: query, search, graph, history, writes, links, scrub."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
+from notegraph.config import LinkConfig, PathConfig, Syntaxes
 from notegraph.errors import EngineError
-from notegraph.operators import fulltext, graph, history, links, query, store, sync, vectors, verify, worker, writes
+from notegraph.operators import fulltext, graph, guard, history, links, query, store, sync, vectors, verify, worker, writes
 from notegraph.operators.query import QuerySpec
 from notegraph.operators.store import live
-from notegraph.plans.visibility import Claim, Visibility
+from notegraph.plans.visibility import Claim, Visibility, allows
 from tests.vault import FILES, ids, nothing, vault
 
 
@@ -249,7 +252,7 @@ def test_safe_head(spark):
 
 
 def test_link_syntax():
-    got = lambda body, **c: [(e.target, e.wiki) for e in links.extract(body, {}, links.LinkConfig(**c))]
+    got = lambda body, **c: [(e.target, e.wiki) for e in links.extract(body, {}, links.LinkConfig(body=links.Syntaxes(**c)))]
     assert got("[a](b.md) ![i](c.png 'T') [d](<e f.md>)") == [("b.md", False), ("c.png", False), ("e f.md", False)]
     assert got("`[a](b.md)` ``x ` [c](d.md)`` [e](f.md)") == [("f.md", False)]
     assert got("```\n[a](b.md)\n```\n\n    [c](d.md)\n\n[e](f(1).md)") == [("f(1).md", False)]
@@ -342,8 +345,9 @@ def test_cleared_links_and_totals(spark, base):
 
 
 def test_path_warnings(base):
-    got = {r.path: r.reason for r in writes.path_warnings(live(base.versions), hidden="l", forbidden="x").collect()}
-    assert got == {"leaf.md": "hidden", "lone.md": "hidden", "moc/index.md": "character"}
+    config = PathConfig(disallowed_chars=("x",), system_sigils=(":", "no"))
+    got = {r.path: r.reason for r in writes.path_warnings(live(base.versions), config).collect()}
+    assert got == {"moc/index.md": "character x"}
 
 
 def test_derived_tables_give_the_same(base):
@@ -472,3 +476,94 @@ def test_a_feed_page_does_not_shuffle_the_log(spark, base):
     page, _ = history.feed(base.versions, 0, 10**15)
     plan = page._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning" not in plan
+
+
+def test_path_configuration_in_layers(spark, base):
+    server = PathConfig(hidden_sigils=("_",))
+    own = server.layered('{"system_sigils": ["@", "sys-"], "hidden_sigils": null, "other": 1}')
+    assert own == PathConfig(system_sigils=("@", "sys-"), hidden_sigils=("_",)) and server.layered(None) == server == server.layered("null")
+    for bad in ({"system_sigils": []}, {"hidden_sigils": [":h"]}, {"hidden_sigils": ["a/"]}, {"disallowed_chars": ["ab"]}, {"system_sigils": ["."]}, {"hidden_sigils": ["|"]}, {"hidden_sigils": "."}, []):
+        with pytest.raises(EngineError):
+            PathConfig().layered(json.dumps(bad))
+    repos = writes.Repos([])
+    repos.create("one")
+    repos.configure("one", path_config={"hidden_sigils": ["no", "l"]})
+    with pytest.raises(EngineError):
+        repos.configure("one", path_config={"hidden_sigils": [""]}, link_config=None)
+    assert ask(base, visibility=repos.visibility()) == ["moc/index.md"]
+    assert repos.paths("one").hidden_sigils == ("no", "l") and repos.visibility().slugs == {1: "one"}
+    repos.configure("one", path_config=None)
+    assert len(ask(base, visibility=repos.visibility())) == 4
+    v, _ = writes.apply(nothing(spark), 1, [writes.Op("create", "a:b.md")], paths=PathConfig(disallowed_chars=()))
+    v, _ = writes.apply(v, 1, [writes.Op("delete", "a:b.md")], paths=PathConfig(disallowed_chars=(), system_sigils=("@",)))
+    assert [r.path for r in live(v).collect()] == ["@deleted/a:b-v1.md"]
+
+
+def test_link_configuration_in_layers(base):
+    every = dict.fromkeys(("inline", "reference", "autolink", "wikilink", "fullpath"), True)
+    repos = writes.Repos([])
+    repos.create("one")
+    assert repos.links() == {1: LinkConfig()}
+    for bad in ({"body": {"inline": True}}, {"body": {**every, "wikilink": 1}}, {"resolution": {"wikilink_elision": True, "preserve_anchors": True, "index_basename": ""}}, {"frontmatter": []}, 3):
+        with pytest.raises(EngineError) as e:
+            repos.configure("one", link_config=bad)
+        assert e.value.code == "link_config_invalid"
+    repos.configure("one", link_config={"body": {**every, "inline": False, "fullpath": False}, "frontmatter": {**every, "fullpath": False}, "resolution": {"wikilink_elision": True, "preserve_anchors": False, "index_basename": "home"}})
+    config = repos.links()[1]
+    assert config == LinkConfig(Syntaxes(inline=False, fullpath=False), Syntaxes(fullpath=False), True, False, "home")
+    assert links.targets(links.Edge("$body", "p#x", True), "d/s.md", config) == ("p.md", ["p.md", "p/home.md"])
+    # Of the vault's links only the wikilink is left.
+    again = links.reindexed(base.links, live(base.versions), 1, config).collect()
+    assert [(r.field, r.target_norm) for r in again] == [("$body", "leaf.md")]
+    assert again == links.backfill(live(base.versions), repos.links()).collect()
+    assert links.reindexed(base.links, live(base.versions), 2, config).count() == base.links.count()
+    refs = {"a": "[x][r]\n\n[r]: /y.md"}
+    assert links.extract("", refs) == [] and len(links.extract("", refs, LinkConfig(frontmatter=Syntaxes()))) == 1
+
+
+POLICY = """
+roles:
+  writer:
+    grants:
+      - {repo: "al*", read: "**", write: ["notes/**", "!notes/old/**"]}
+      - {repo: [beta], write: "*.txt"}
+  boss: {grants: [], destructive: true, impersonate: true}
+principals:
+  ann: {author: ann, roles: [writer]}
+  bob: {roles: [writer, boss]}
+"""
+
+
+def test_guard(spark, base):
+    ann, bob = guard.entitlement(POLICY, "ann"), guard.entitlement(POLICY, "bob", "bob <b@x>")
+    assert (ann.maintain, ann.destructive, bob.maintain, bob.author) == (False, False, True, "bob <b@x>")
+    bob.may("maintain")
+    for wrong in (lambda: ann.may("destructive"), lambda: guard.entitlement(POLICY, "bob"), lambda: guard.entitlement(POLICY, "eve", "e")):
+        with pytest.raises(EngineError):
+            wrong()
+    now = ids(base.versions)
+    for op in (
+        writes.Op("create", "x.md"), writes.Op("create", "notes/old/x.md"), writes.Op("delete", "leaf.md"),
+        writes.Op("put", "notes/mid.md", prev=now["notes/mid.md"], new_path="far/mid.md"), writes.Op("put", "leaf.md", prev=now["leaf.md"], new_path="notes/leaf.md"),
+    ):
+        with pytest.raises(EngineError) as e:
+            guard.apply(base.versions, 1, "alpha", [writes.Op("create", "notes/fine.md"), op], ann)
+        assert e.value.code == "forbidden"
+    with pytest.raises(EngineError) as e:
+        guard.apply(base.versions, 1, "alpha", [writes.Op("create", "notes/:x.md")], ann)
+    assert e.value.code == "path_invalid"
+    mine = [writes.Op("create", "/notes/new.md", author="eve"), writes.Op("put", "notes/mid.md", "b", prev=now["notes/mid.md"], new_path="notes/two.md")]
+    v, made = guard.apply(base.versions, 1, "alpha", mine, ann)
+    assert {r.author for r in v.where(F.col("id").isin(made)).collect()} == {"ann"}
+    v, made = guard.apply(base.versions, 1, "alpha", mine, bob)
+    assert sorted(r.author for r in v.where(F.col("id").isin(made)).collect()) == ["bob <b@x>", "eve"]
+    assert ask(base, visibility=ann.visibility(Visibility(slugs={1: "other"}))) == [] and len(ask(base, visibility=ann.visibility(Visibility(slugs={1: "alpha"})))) == 4
+    rows = spark.createDataFrame([(i, p) for i in (1, 2) for p in ("notes/a.md", "notes/old/b.md", "c/d.txt", ":deleted/x.md")], "repo_id long, path string")
+    got = rows.where(guard.writable(ann, {1: "alpha", 2: "beta"}, F.col("repo_id"), F.col("path"))).collect()
+    assert {tuple(r) for r in got} == {(1, "notes/a.md"), (1, ":deleted/x.md"), (2, "c/d.txt"), (2, ":deleted/x.md")}
+    for r in rows.collect():
+        assert visibility_allows(ann, r) == (tuple(r) in {tuple(x) for x in got} and not r.path.startswith(":"))
+
+
+def visibility_allows(own, row):
+    return allows(own.write, {1: "alpha", 2: "beta"}[row.repo_id], row.path)

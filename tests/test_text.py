@@ -54,7 +54,7 @@ def test_hash_ignores_stamps_and_line_ends():
 
 def test_paths():
     assert text.exact_path("/a/b.md") == "a/b.md"
-    for bad in ("", "/", "//a", "a//b", "a/", "a/../b", "a\\b", ":x/y", "a/:y", "a?b"):
+    for bad in ("", "/", "//a", "a//b", "a/", "a/../b", "a\\b", ":x/y", "a/:y", "a?b", "a:b", "a|b"):
         with pytest.raises(EngineError) as e:
             text.exact_path(bad)
         assert e.value.code == "path_invalid"
