@@ -4,9 +4,6 @@ from __future__ import annotations
 
 import datetime as dt
 import json
-import os
-import shutil
-import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
@@ -276,30 +273,3 @@ def path_warnings(live_rows: DataFrame, config: PathConfig = PathConfig()) -> Da
         reason = reason.when(path.contains(c), f"character {c}")
     own = live_rows.where(~has_sigil(path, config.system_sigils))
     return own.select("id", "path", reason.alias("reason")).where("reason IS NOT NULL")
-
-
-def commit(tables: dict[str, DataFrame], root: str) -> str:
-    """The tables as one snapshot: written to a folder of their own, then named by one atomic rename.
-    A single writer is assumed; ``root`` is a mounted folder."""
-    name = uuid.uuid4().hex
-    for table, df in tables.items():
-        df.write.parquet(f"{root}/{name}/{table}")
-    part = f"{root}/CURRENT.{name}"
-    with open(part, "w") as f:
-        f.write(name)
-    os.replace(part, f"{root}/CURRENT")
-    return name
-
-
-def open_snapshot(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    with open(f"{root}/CURRENT") as f:
-        name = f.read().strip()
-    return {t: spark.read.parquet(f"{root}/{name}/{t}") for t in sorted(os.listdir(f"{root}/{name}"))}
-
-
-def prune(root: str) -> None:
-    with open(f"{root}/CURRENT") as f:
-        name = f.read().strip()
-    for old in os.listdir(root):
-        if old != name and os.path.isdir(f"{root}/{old}"):
-            shutil.rmtree(f"{root}/{old}")

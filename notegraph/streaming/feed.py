@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from notegraph.operators import history
+from notegraph.sources.shared import SharedFolder
 
 
 def source(spark: SparkSession, folder: str, schema: str, files: int = 64) -> DataFrame:
@@ -45,21 +45,10 @@ def run(
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="5 seconds")).start()
 
 
-def file_cursor(path: str) -> tuple[Callable[[], int], Callable[[int], None]]:
-    """A cursor in a file, replaced whole by a rename."""
-
-    def read() -> int:
-        if not os.path.exists(path):
-            return 0
-        with open(path) as f:
-            return int(f.read() or 0)
-
-    def save(value: int) -> None:
-        with open(path + ".new", "w") as f:
-            f.write(str(value))
-        os.replace(path + ".new", path)
-
-    return read, save
+def file_cursor(spark: SparkSession, folder: str, name: str = "cursor") -> tuple[Callable[[], int], Callable[[int], None]]:
+    """A cursor in a file of a shared folder, replaced whole, so a driver on another machine finds it."""
+    files = SharedFolder(spark, folder)
+    return lambda: int(files.read(name) or 0), lambda value: files.put(name, str(value)) and None
 
 
 def settle(changes: DataFrame, quiet: str = "2 seconds", late: str = "30 minutes") -> DataFrame:

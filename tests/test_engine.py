@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from notegraph.config import LinkConfig, PathConfig, Syntaxes
 from notegraph.errors import EngineError
-from notegraph.operators import fulltext, graph, guard, history, links, query, store, sync, vectors, verify, worker, writes
+from notegraph.operators import fulltext, graph, guard, history, links, query, snapshots, store, sync, vectors, verify, worker, writes
 from notegraph.operators.query import QuerySpec
 from notegraph.operators.store import live
 from notegraph.plans.visibility import Claim, Visibility, allows
@@ -174,12 +174,37 @@ def test_writes(spark, base):
 
 def test_snapshots(spark, base, tmp_path):
     root = str(tmp_path)
-    writes.commit({"versions": base.versions, "links": base.links}, root)
-    writes.commit({"versions": base.versions.where("id > 2"), "links": base.links}, root)
-    got = writes.open_snapshot(spark, root)
+    with pytest.raises(EngineError):
+        snapshots.open_snapshot(spark, root)
+    assert snapshots.commit({"versions": base.versions, "links": base.links}, root, 0) == 1
+    assert snapshots.commit({"versions": base.versions.where("id > 2"), "links": base.links}, root) == 2
+    got = snapshots.open_snapshot(spark, root)
     assert got["versions"].count() == len(FILES) - 2 and got["links"].count() == base.links.count()
-    writes.prune(root)
-    assert writes.open_snapshot(spark, root)["versions"].count() == len(FILES) - 2
+    assert snapshots.open_snapshot(spark, root, 1)["versions"].count() == len(FILES)
+    with pytest.raises(EngineError) as e:
+        snapshots.commit({"links": base.links}, root, 1)
+    assert e.value.code == "stale_prev" and e.value.detail == {"current": 2}
+    snapshots.prune(spark, root)
+    assert snapshots.open_snapshot(spark, root)["versions"].count() == len(FILES) - 2 and snapshots.head(spark, root) == 2
+
+
+def test_transactions(spark, base, tmp_path):
+    root = str(tmp_path)
+    with snapshots.transaction(spark, root) as t:
+        t.tables["versions"] = base.versions
+        with pytest.raises(ValueError), t.savepoint():
+            t.tables["versions"] = base.versions.where("id > 2")
+            raise ValueError
+    assert snapshots.open_snapshot(spark, root)["versions"].count() == len(FILES)
+    with pytest.raises(ValueError), snapshots.transaction(spark, root) as t:
+        t.tables["links"] = base.links
+        raise ValueError
+    with pytest.raises(EngineError) as e, snapshots.transaction(spark, root) as t:
+        t.tables["links"] = base.links
+        with snapshots.transaction(spark, root) as faster:
+            faster.tables["versions"] = base.versions.where("id > 3")
+    assert e.value.code == "stale_prev" and snapshots.head(spark, root) == 2
+    assert list(snapshots.open_snapshot(spark, root)) == ["versions"]
 
 
 def test_repos(spark):

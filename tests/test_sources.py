@@ -48,7 +48,7 @@ def test_feed_stream_waits_at_a_hot_gap(spark, tmp_path):
     rows = spark.createDataFrame(v.collect(), schema)
     rows.where("id <> 3").write.parquet(folder)
     seen: list[int] = []
-    read, save = feed.file_cursor(str(tmp_path / "cursor"))
+    read, save = feed.file_cursor(spark, str(tmp_path / "state"))
     clock = [1767225606000]  # two seconds after the last row
 
     def run():
