@@ -312,8 +312,8 @@ class Compiler:
         return self.side(rows, F.max(F.lit(True)), False)
 
     def linked(self, call: cel.Call, kind: str, variable: str, body: cel.Node) -> Column:
-        """exists and all over the visible documents at the other end of links. The body may mention
-        the outer document too, so the two rows are joined before it is tested."""
+        """exists and all over the visible documents at the other end of links. Where the body mentions
+        the outer document too, the two rows are joined before it is tested."""
         tables = self.need(call.name)
         other = Compiler(None, "o_")
         inner = Compiler(None)
@@ -321,10 +321,11 @@ class Compiler:
         test = inner.boolean(body)
         if kind == "all":
             test = ~test
-        outer = [c for c in tables.live.columns if c != "document_id"]
         rows = self.others(call.name, tables).where("o_document_id IS NOT NULL")
-        rows = rows.join(tables.live.select("document_id", *outer), "document_id").where(test)
-        found = self.side(rows, F.max(F.lit(True)), False)
+        if cel.names(body, calls=False) - {variable}:
+            outer = [c for c in tables.live.columns if c != "document_id"]
+            rows = rows.join(tables.live.select("document_id", *outer), "document_id")
+        found = self.side(rows.where(test), F.max(F.lit(True)), False)
         return ~found if kind == "all" else found
 
     # Booleans

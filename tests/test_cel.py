@@ -90,3 +90,8 @@ def test_precedence_and_binding():
     assert tree.name == "||" and tree.args[1].name == "&&"
     assert cel.names(cel.parse("$degrees < 2 && x.y == 1")) == {"$degrees", "x", "<", "&&", "=="}
     assert cel.bind(cel.parse("$degrees < 2"), "$degrees", 1) == cel.parse("1 < 2")
+
+
+def test_names_without_calls():
+    node = cel.parse('list(d.tags).exists(t, t == "x") && size(d.k) > 1')
+    assert cel.names(node, calls=False) == {"d", "t"} and cel.names(node) >= {"d", "t", "size", "exists"}
