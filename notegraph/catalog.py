@@ -13,6 +13,7 @@ from notegraph.config import PathConfig
 from notegraph.functions import columns
 from notegraph.model import C, D, G, KIND, V
 from notegraph.operators import fulltext, graph, guard, history, links, query, store, sync, vectors, verify, worker, writes
+from notegraph.operators.cut import place
 from notegraph.operators.query import QuerySpec
 from notegraph.operators.store import Store
 from notegraph.plans.compile import Tables, compile_filter
@@ -379,6 +380,24 @@ def ft_porter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fulltext.matches(indexed, fulltext.parse("disgusting things")).select("id")
 
 
+@register("st_modes", f"{_T} SELECT t.id, lang FROM t JOIN d ON d.id = t.id WHERE list_contains(terms, 'the') AND lang = 'en' AND d.id % 7 <> 3 AND {_SEEN}")
+def st_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = QuerySpec(filter='lang == "en" && meta.rank != 3', text="the", stemmed=False)
+    got = query.selected(Store(model.documents(spark, sf_dir)), spec)
+    return got.select("id", F.try_variant_get("frontmatter", "$.lang", "string").alias("lang"))
+
+
+@register(
+    "pr_absent",
+    f"""WITH {D} SELECT path, CASE id % 5 WHEN 0 THEN 'true' WHEN 1 THEN '"yes"' WHEN 2 THEN '1' END AS flag,
+      CASE id % 4 WHEN 1 THEN '"' || lang || '"' WHEN 2 THEN '["' || lang || '","' || source || '"]' WHEN 3 THEN 'null' END AS tags FROM d""",
+)
+def pr_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys that a row lacks and keys that are null are told apart."""
+    got = query.project(model.documents(spark, sf_dir), ("$path", "flag", "tags"))
+    return got.select(F.col("`$path`").alias("path"), F.to_json("flag").alias("flag"), F.to_json("tags").alias("tags"))
+
+
 # Vectors (VS)
 
 
@@ -479,6 +498,13 @@ def hs_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.refs(model.versions(spark, sf_dir)).select("id", "path", "prev_path", "op")
 
 
+@register("sc_ndjson", f"WITH {V} SELECT v.id, v.prev_id, v.repo_id, v.path, p.path AS prev_path, {_OP} AS op, v.created_at FROM v LEFT JOIN v p ON p.id = v.prev_id")
+def sc_ndjson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = place(spark)
+    markdown.ndjson(history.refs(model.versions(spark, sf_dir)), at)
+    return spark.read.schema("id long, prev_id long, repo_id long, path string, prev_path string, op string, created_at string").json(at)
+
+
 @register(
     "hs_list_ever",
     f"""WITH {V} SELECT v.id, v.path, {_OP} AS op FROM v LEFT JOIN v p ON p.id = v.prev_id
@@ -952,6 +978,18 @@ def vf_frontmatter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("check", "version_id")
 
 
+@register(
+    "vf_selection",
+    f"""WITH {D} SELECT 'hash.missing' AS "check", count(*) AS n FROM d UNION ALL SELECT 'frontmatter.system_leak', count(*) FROM d WHERE id % 10 = 2""",
+)
+def vf_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A family and one check of another: the parse errors there are aren't asked for."""
+    kind = F.col("id") % 10
+    raw = F.when(kind == 1, "a: [b").when(kind == 2, "$version: v1\n").otherwise(F.col("frontmatter_raw"))
+    found = verify.verify(Store(model.documents(spark, sf_dir).withColumn("frontmatter_raw", raw)), ["hash", "frontmatter.system_leak"])
+    return found.groupBy("check").agg(F.count(F.lit(1)).alias("n"))
+
+
 @register(
     "vf_fts",
     f"""WITH {D} SELECT 'fts.missing' AS "check", id AS version_id FROM d WHERE id % 50 = 1 UNION ALL SELECT 'fts.orphan', id + 10000000 FROM d WHERE id % 50 = 2""",

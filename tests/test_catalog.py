@@ -12,7 +12,7 @@ DATA = "/root/testdata/sf0.001"
 SOME = (
     "fp_key_to_key fp_all fp_not_3vl fp_glob_scope fp_repo_pattern fn_matches pr_select sl_default_order_limit sc_live jn_has_dangling jn_links_exists_theta "
     "jn_links_all st_set_algebra ag_distinct_degree gr_bfs_both gr_budget ft_phrase ft_bm25 vs_semantic_filter hs_since_gap hs_reconcile hs_bursts "
-    "hs_push wr_worker wr_replay sh_writable fp_repo_sigils ln_syntaxes vs_embed_reuse ln_resolve ln_stale vf_chain vf_cycle vf_chunks vf_links"
+    "hs_push sc_ndjson st_modes pr_absent vf_selection wr_worker wr_replay sh_writable fp_repo_sigils ln_syntaxes vs_embed_reuse ln_resolve ln_stale vf_chain vf_cycle vf_chunks vf_links"
 ).split()
 
 
