@@ -88,18 +88,15 @@ def listing(
 def safe_upper(rows: DataFrame, after: int, now_ms: int, window_ms: int = WINDOW_MS, scan: int | None = SCAN) -> int:
     """The last id before the first hot gap after ``after``: a gap whose successor is younger than the
     window may still be filled. ``rows``: (id, created_at). A page of a feed looks at ``scan`` rows at
-    most, whatever the size of the log, so the ordered window over them is small."""
+    most, whatever the size of the log; without ``scan`` the frontier is that of the whole log. A gap's
+    successor is a row whose id follows no other, so no ordered window over the rows is needed."""
     page = rows.where(F.col("id") > after).select("id", F.unix_millis(F.to_timestamp("created_at")).alias("ms"))
     if scan is not None:
         page = page.orderBy("id").limit(scan)
-    order = Window.orderBy("id")
-    before = F.coalesce(F.lag("id").over(order), F.lit(after))
-    hot = page.withColumn("before", before).where((F.col("id") > F.col("before") + 1) & (F.lit(now_ms) - F.col("ms") < window_ms))
-    stop = hot.agg(F.min("before").alias("b")).first()
-    if stop is not None and stop.b is not None:
-        return int(stop.b)
-    top = page.agg(F.max("id").alias("m")).first()
-    return after if top is None or top.m is None else int(top.m)
+    young = page.where((F.col("id") > after + 1) & (F.lit(now_ms) - F.col("ms") < window_ms)).select("id", (F.col("id") - 1).alias("before"))
+    stop = young.join(page.select(F.col("id").alias("before")), "before", "left_anti").agg(F.min("id").alias("i")).first().i
+    top = (page if stop is None else page.where(F.col("id") < stop)).agg(F.max("id").alias("m")).first().m
+    return after if top is None else int(top)
 
 
 def feed(
@@ -110,12 +107,14 @@ def feed(
     limit: int = FEED_PAGE,
     window_ms: int = WINDOW_MS,
     visibility: Visibility = Visibility(),
+    frontier: int | None = None,
 ) -> tuple[DataFrame, int]:
-    """(settled references after the cursor, the next cursor). A page ends at the ``limit``-th match if
+    """(settled references after the cursor, the next cursor). ``frontier``: that of the log, if the
+    caller knows it; else it is looked for in the rows that one poll scans. A page ends at the ``limit``-th match if
     another follows in the safe region, else at the frontier. A reference shows if either of its ends
     is in scope. A page has ``limit`` rows at most, so the log is searched for what they follow by a
     broadcast of their ids and isn't shuffled."""
-    upper = safe_upper(versions, after, now_ms, window_ms)
+    upper = safe_upper(versions, after, now_ms, window_ms) if frontier is None else frontier
     rows = versions.where((F.col("id") > after) & (F.col("id") <= upper))
     mine = rows if repo_id is None else rows.where(F.col("repo_id") == repo_id)
     ids = [r.id for r in mine.select("id").orderBy("id").limit(limit + 1).collect()]

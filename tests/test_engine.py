@@ -2,9 +2,11 @@
 
 import json
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from notegraph import catalog
 from notegraph.config import LinkConfig, PathConfig, Syntaxes
 from notegraph.errors import EngineError
 from notegraph.operators import fulltext, graph, guard, history, links, query, snapshots, store, sync, vectors, verify, worker, writes
@@ -271,6 +273,24 @@ def test_safe_frontier(spark, rows, after, want):
     assert history.safe_upper(log(spark, rows), after, NOW) == want
 
 
+def test_frontier_beyond_one_scan(spark):
+    """Without a scan bound the frontier is that of the whole log, and a page given it stays a page."""
+    rows = log(spark, [(i, 0, 0) for i in range(1, 21) if i != 5] + [(22, 9, 59), (30, 0, 0)])
+    assert history.safe_upper(rows, 0, NOW, scan=10) == 11
+    assert history.safe_upper(rows, 0, NOW, scan=None) == 20
+
+
+def test_since_gap_tells_the_frontier_behind_a_full_page(spark, tmp_path):
+    """The log is so long that the page ends before the frontier."""
+    at = "TIMESTAMP '2024-01-01' + INTERVAL 1 MINUTE * range"
+    duckdb.sql(f"COPY (SELECT range AS event_id, {at} AS ts, range % 50 AS user_id, 'view' AS event_type, 1.0 AS value, '{{}}' AS props FROM range(40000)) TO '{tmp_path}/events.parquet'")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    want = con.sql(catalog.oracle_sql()["hs_since_gap"]).fetchall()
+    assert [tuple(r) for r in catalog.queries()["hs_since_gap"](spark, str(tmp_path)).orderBy("id").collect()] == want
+    assert len(want) == 500 and want[0][2] > want[-1][0]
+
+
 def test_safe_head(spark):
     assert history.safe_head(log(spark, [(10, 0, 0), (11, 0, 0), (13, 9, 59)]), NOW) == 11
     assert history.safe_head(log(spark, []), NOW) == 0
