@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from notegraph.llm import ngrams
-from notegraph.llm.common import durable, named
+from notegraph.llm.common import durable, named, trim
 
 BITS = 20
 #: The model is fitted on about this many labelled documents, chosen by a hash of their identifier, and on fewer
@@ -115,10 +115,11 @@ def collected(rows: DataFrame, most: int = TRAIN_BYTES) -> list[dict]:
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = TRAIN_DOCS) -> tuple[np.ndarray, float]:
     rows = training_rows(docs, labels, label, limit).select("doc_id", F.col("text").cast("binary"), "y")
     got = collected(rows.mapInArrow(_slots, "doc_id long, y int, slots binary"))
-    return fit(
-        [np.frombuffer(r["slots"], dtype=np.uint32).astype(np.int64) for r in got],
-        np.array([r["y"] for r in got], dtype=float),
-    )
+    # The slots stay where they came; wider copies of all rows would take the driver twice as much again.
+    model = fit([np.frombuffer(r["slots"], dtype=np.uint32) for r in got], np.array([r["y"] for r in got], dtype=float))
+    del got
+    trim()
+    return model
 
 
 def score(
@@ -157,6 +158,7 @@ def score(
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(found)], [*names, "score"])
             else:
                 yield pa.RecordBatch.from_arrays(kept, names).filter(pa.array(found < below))
+        trim()
 
     schema = T.StructType(rows.schema.fields[:-1])
     if below is not None:
