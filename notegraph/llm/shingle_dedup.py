@@ -9,7 +9,7 @@ are then compared one by one, which keeps a large group of copies linear.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notegraph.llm.common import durable, scratch
+from notegraph.llm.common import durable, scratch, trim
 from notegraph.llm.components import connected
 
 WORDS = 5
@@ -59,6 +59,7 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(0, batch.num_rows, SLICE):
             yield batch.slice(k, SLICE)
+    trim()
 
 
 def _few(rows: DataFrame) -> DataFrame:
@@ -113,6 +114,8 @@ def _common(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     top = found.orderBy(F.desc("count"), "h").limit(COMMON).toArrow()
     h, n = (np.array(top.column(c), dtype=np.int64) for c in ("h", "count"))
     order = np.argsort(h)
+    del top
+    trim()
     return h[order], n[order]
 
 
@@ -184,9 +187,23 @@ def _may(n: str, at: str, m: str, to: str, similarity: float) -> Column:
     return most >= (F.col(n) + F.col(m)) * (similarity / (1 + similarity)) - 1e-6
 
 
-def links(texts: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+def alike(texts: DataFrame, pairs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """Those of the pairs (a, b) of marks of the rows (mark, text) whose texts are alike in ``similarity``."""
+    return _alike(pairs, _of(texts, pairs, words), similarity)
+
+
+def _open(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """The pairs (a, b) that ``edges`` leave in different components."""
+    roots = _few(connected(edges))
+    root = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}r"))
+    placed = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left")
+    return placed.where(F.coalesce("ar", "a") != F.coalesce("br", "b")).select("a", "b")
+
+
+def links(texts: DataFrame, known: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """Edges (a, b) between marks of the rows (mark, text) such that exactly those are connected whose
-    Jaccard similarity is ``similarity`` or more, directly or over others."""
+    Jaccard similarity is ``similarity`` or more, directly or over others. ``known``: edges between such pairs
+    that have been found already; what they connect is not compared again."""
     common, times = _common(texts, words)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,7 +240,7 @@ def links(texts: DataFrame, words: int = WORDS, similarity: float = SIMILARITY)
     )
     spark = texts.sparkSession
     with scratch(spark) as keep:
-        edges = keep(_alike(stars, _of(texts, stars, words), similarity))
+        edges = keep(known.unionByName(alike(texts, durable(_open(stars, known)), words, similarity)))
     with scratch(spark) as keep:
         mixed = keep(_mixed(shared, edges))
     sets = _of(texts, mixed.select(F.col("mark").alias("a"), F.col("mark").alias("b")), words)
@@ -269,19 +286,24 @@ def _apart(mixed: DataFrame, sets: DataFrame, stars: DataFrame, similarity: floa
     return met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
 
 
-def unique(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+def unique(
+    docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, found: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """The rows of ``docs`` that come first in their component: that with the smallest doc_id, null ones
     last, and of rows with one doc_id that with the smallest hash of the text.
 
     Two texts are linked if the Jaccard similarity of their sets of ``words``-word shingles, lower-cased,
     is ``similarity`` or more. Texts without words, empty ones and nulls are linked. Rows repeated whole
-    stay repeated.
+    stay repeated. ``found``: gives edges between rows (mark, text) that are alike; the rest is looked for here.
     """
     text = F.coalesce("text", F.lit(""))
     mark = F.xxhash64(text)
     texts = docs.select(mark.alias("mark"), F.lower(text).cast("binary").alias("text"))
-    with scratch(docs.sparkSession) as keep:
-        roots = connected(links(texts, words, similarity))
+    spark = docs.sparkSession
+    with scratch(spark) as keep:
+        with scratch(spark) as hold:
+            known = hold(found(texts) if found else spark.createDataFrame([], "a long, b long"))
+        roots = connected(links(texts, known, words, similarity))
         keys = docs.select(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", mark.alias("mark")).alias("k"))
         placed = durable(
             keys.join(roots, F.col("k.mark") == F.col("node"), "left").select("k", F.coalesce("root", "k.mark").alias("root")).distinct()

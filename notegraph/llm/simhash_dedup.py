@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notegraph.llm import shingle_dedup
-from notegraph.llm.common import durable
+from notegraph.llm.common import durable, trim
 from notegraph.llm.components import connected
 
 RADIUS = 2
@@ -69,6 +69,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 count=batch.num_rows,
             )
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+        trim()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     return rows.mapInArrow(each, "doc_id long, fp long")
@@ -159,6 +160,20 @@ def near_dedup(
     )
 
 
-def unique(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the pipeline keeps of near copies: by shared shingles, not by fingerprints."""
-    return shingle_dedup.unique(docs)
+def alike(texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Edges (a, b) between marks of the rows (mark, text): texts of one fingerprint with the first of them, and the
+    first ones of fingerprints that the grid join links, each pair verified by its sets of shingles."""
+    marks = durable(fingerprints(texts, "mark", "text", words).withColumnRenamed("doc_id", "mark").distinct())
+    points = durable(marks.groupBy("fp").agg(F.min("mark").alias("first")))
+    same = marks.join(points, "fp").where("mark <> first").select(F.col("first").alias("a"), F.col("mark").alias("b"))
+    point = lambda x: points.select(F.col("fp").alias(x), F.col("first").alias(f"{x}m"))
+    near = links(points.select("fp")).join(point("a"), "a").join(point("b"), "b")
+    pairs = same.unionByName(near.select(F.least("am", "bm").alias("a"), F.greatest("am", "bm").alias("b")))
+    return shingle_dedup.alike(texts, durable(pairs), words, similarity)
+
+
+def unique(docs: DataFrame, words: int = shingle_dedup.WORDS, similarity: float = shingle_dedup.SIMILARITY) -> DataFrame:
+    """The rows of ``docs`` that the pipeline keeps of near copies: those that fingerprints and the grid join find,
+    verified; and, since texts alike in ``similarity`` may differ in more bits than the grid spans, those that are
+    left, by shared shingles."""
+    return shingle_dedup.unique(docs, words, similarity, lambda texts: alike(texts, words, similarity))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from notegraph.llm import shingle_dedup
+from notegraph.llm import shingle_dedup, simhash_dedup
 from notegraph.llm.common import table
 from tests.llm.test_simhash import union
 
@@ -69,6 +69,24 @@ def test_any_order_finds_the_same(spark, monkeypatch):
     assert sorted(shingle_dedup.unique(docs).collect()) == want
 
 
+def test_stage_takes_fingerprints_through_the_grid(spark, monkeypatch):
+    """Pairs within two bits come from the grid join, and only those alike in their sets; the rest is found without."""
+    texts = near_copies(4)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    marked = docs.select(F.xxhash64("text").alias("mark"), F.lower("text").cast("binary").alias("text"))
+    mark = {x.t: x.m for x in docs.select(F.col("text").alias("t"), F.xxhash64("text").alias("m")).collect()}
+    sets = {mark[t]: brute_shingles(t) for t in texts}
+    prints = {mark[t]: simhash_dedup.fingerprint(t.lower().encode(), 5) for t in texts}
+    edges = {(x.a, x.b) for x in simhash_dedup.alike(marked, 5, 0.8).collect()}
+    assert edges and all(5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) for a, b in edges)
+    assert all((prints[a] ^ prints[b]).bit_count() <= 2 for a, b in edges)
+    calls = []
+    real = simhash_dedup.links
+    monkeypatch.setattr(simhash_dedup, "links", lambda points, *a: calls.append(points.count()) or real(points, *a))
+    corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert calls == [len(set(prints.values()))]
+
+
 def test_rows_are_told_by_identifier_and_text(spark):
     text = " ".join(f"word{i}" for i in range(100))
     rows = [(1, text), (2, "something else entirely, kept beside a copy"), (2, text + " more"), (None, text + " too"), (None, "without any copy at all, so it stays")]
