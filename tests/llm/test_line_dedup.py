@@ -212,3 +212,81 @@ def test_passage_repeated_inside_a_document(spark):
 def test_many_repeated_lines_are_diffed_in_time():
     a, b = [1, 2] * 10_000 + [3, 3], [4, 4] + [2, 1] * 10_000
     assert len(line_dedup.patience(a, b)) == 19_999
+
+
+def pairwise(rows, least=5):
+    """Every document aligned with every earlier one by ``patience``: the positions in blocks of ``least`` words or more."""
+    docs = sorted({(i is None, i if i is not None else 0, t or "") for i, t in rows})
+    own = {d: [norm(x) for x in d[2].split("\n")] for d in docs}
+    out = {}
+    for k, d in enumerate(docs):
+        gone = set()
+        for e in docs[:k]:
+            run = []
+            for j in [*[j for _, j in line_dedup.patience(own[e], own[d])], None]:
+                if run and j != run[-1] + 1:
+                    if sum(len(own[d][x].split()) for x in run) >= least:
+                        gone |= set(run)
+                    run = []
+                run.append(j)
+        out[d] = gone
+    return out
+
+
+def same_as_all_pairs(spark, rows):
+    want = pairwise(rows)
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len(got) == len(rows)
+    texts = {i: t or "" for i, t in rows}
+    assert len(texts) == len(set(rows))
+    mine = {x.doc_id: set(x.removed) for x in got}
+    assert mine == {i: want[(i is None, i if i is not None else 0, t)] for i, t in texts.items()}
+    return mine
+
+
+def test_no_holder_is_left_out(spark):
+    """Sixty documents hold two lines, a single later one holds them in the other order, and so do those after it: the
+    first of each part crosses them, whichever parts there are. Lines between others, blank lines, parts of a passage."""
+    one, two = "one line that has enough words", "another line that has enough words"
+    rows = [(i, f"{one}\nown text {i}\n{two}") for i in range(1, 61)]
+    rows += [(61, f"{two}\nsecond alone here\n{one}"), (62, f"{two}\nthird alone here\n{one}"), (63, f"{two}\nfourth alone\n\n{one}\n\n")]
+    rows += [(70 + i, f"short {i % 7}\nand words {i}\nshort {(i + i // 7) % 7}\nand words") for i in range(30)]
+    rows += [(200, f"x\n\n{one}\n\ny\n\nz"), (201, f"\n{one}\n\n\t\nw"), (202, f"u\n\n{one}\n\t\n\nv"), (None, "a b\n\nc d e"), (300, "a b\nf\n\nc d e\ng"), (301, "a b\n\nc d e\nlast one")]
+    mine = same_as_all_pairs(spark, rows)
+    assert mine[2] == {0, 2} and len(mine[61]) == 1 and mine[62] == {0, 2} and {0, 3} <= mine[63]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_all_pairs_of_crossed_lines(spark, monkeypatch, seed):
+    """A few lines that most documents hold, in random order; batches small enough for several."""
+    monkeypatch.setattr(line_dedup, "BATCH", 2)
+    monkeypatch.setattr(line_dedup, "GROWTH", 2)
+    r = random.Random(seed)
+    pool = [" ".join(f"w{r.randrange(200)}" for _ in range(r.choice([1, 2, 3, 8]))) for _ in range(12)] + ["", "\t"]
+    rows = [(i, "\n".join(r.choice(pool) if r.random() < 0.8 else f"own {i} {k}" for k in range(r.randint(1, 10)))) for i in range(90)]
+    assert sum(map(len, same_as_all_pairs(spark, rows).values())) > 100
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_passages_of_lines_left(seed):
+    """Whatever block holds a line, one of its passages is held in order by the block."""
+    r = random.Random(seed)
+    least = r.choice((0, 1, 5))
+    lines = [r.randrange(9) for _ in range(r.randint(1, 14))]
+    count = [r.choice((0, 1, 2, 5)) for _ in range(9)]
+    words = [min(count[h], least) for h in lines]
+    seen = {h: 1 for h in range(9) if r.random() < 0.8 and (count[h] or least <= 0)}
+    gone = {i for i in range(len(lines)) if r.random() < 0.2}
+    found = line_dedup.passages(lines, words, seen, gone, least)
+    for s in range(len(lines)):
+        for t in range(s + 1, len(lines) + 1):
+            if all(h in seen or (words[i] == 0 and least > 0) for i, h in enumerate(lines[s:t], s)) and sum(words[s:t]) >= least:
+                for j in set(range(s, t)) - gone:
+                    assert any(j in at and is_within(v, lines[s:t]) for v, at in found.items())
+    for v, at in found.items():
+        assert not set(at) & gone and all(lines[j] in v for j in at)
+
+
+def is_within(v, lines):
+    rest = iter(lines)
+    return all(h in rest for h in v)
