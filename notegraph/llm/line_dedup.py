@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from notegraph.llm.common import WORD, durable, held
+from notegraph.llm.common import SPACE, WORD, durable, held
 
 #: A block of aligned lines of one pair is deleted if it has this many words or more.
 MIN_WORDS = 5
@@ -351,6 +351,14 @@ def deleted(lines: list[str], blocks: list[tuple[int, int]], least: int) -> list
     return sorted(gone)
 
 
+def _words(line: Column, most: int) -> Column:
+    """The number of words, or ``most`` where there are more: most lines need not be read to the end for it."""
+    count = F.least(F.regexp_count(line, F.lit(WORD)), F.lit(most))
+    if not 1 <= most <= 64:
+        return count
+    return F.when(line.rlike(rf"\A(?:{SPACE[:-1]}*+)(?:{WORD}+{SPACE}+){{{most - 1}}}{WORD[:-1]}"), F.lit(most)).otherwise(count)
+
+
 def _places(rows: DataFrame, into: str = "solid") -> DataFrame:
     """``rows`` with the lines that are not empty, in order: (at, h, w)."""
     empty = F.xxhash64(F.lit(""))
@@ -415,7 +423,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     split = F.split("text", "\n")
     line_hashes = F.transform(split, lambda x: F.xxhash64(F.lower(F.trim(x))))
-    counts = F.transform(split, lambda x: F.least(F.regexp_count(x, F.lit(WORD)), F.lit(min_words)))
+    counts = F.transform(split, lambda x: _words(x, min_words))
     sketch = durable(rows.select("doc_id", "mark", line_hashes.alias("lines"), counts.alias("words")))
     key = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")
     pairs, same, own = pairs_of(sketch, key, min_words)

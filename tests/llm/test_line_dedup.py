@@ -290,3 +290,11 @@ def test_passages_of_lines_left(seed):
 def is_within(v, lines):
     rest = iter(lines)
     return all(h in rest for h in v)
+
+
+@pytest.mark.parametrize("most", [0, 1, 2, 5, 65])
+def test_words_up_to_a_number(spark, most):
+    lines = ["", " ", "a", "\ta", "a b", " a b c d ", "a b c d e", "\ta\rb\x0bc\x0cd  e\r", "a b c d  ", "\x1ca b\u00a0b c d", "é b c d e f", "x" * 9999, "y " * 70]
+    rows = spark.createDataFrame([(x,) for x in lines], "line string")
+    got = {x.line: x.n for x in rows.select("line", line_dedup._words(rows.line, most).alias("n")).collect()}
+    assert got == {x: min(len(x.encode().split()), most) for x in lines}
